@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from arborix.llm.canonical import look_alike_pairs, with_canonical
 from arborix.llm.leakage import leaks, without_leaks
 from arborix.llm.linking import folder_links, linked_groups
+from arborix.llm.mixing import mix
 from arborix.llm.representative import best_records, survivors, true_values
 from arborix.llm.set_pairs import record_links, similar_record_pairs
+from arborix.llm.toxicity import scored, source_rates
 from arborix.runtime import load
 
 
@@ -88,6 +90,31 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of documents at the shares of source_targets, block by block."""
+    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets")).blocks
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares wanted and reached, by source."""
+    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets")).shares
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score."""
+    return scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "review_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit passage."""
+    return p8_scores(spark, sf_dir).filter("abusive").select("doc_id").distinct()
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of such documents by source."""
+    return source_rates(p8_scores(spark, sf_dir))
+
+
 _SETS = """
 tok AS (SELECT DISTINCT path, t FROM (SELECT path, unnest(token_set) AS t FROM folder_sets) WHERE path IS NOT NULL AND t IS NOT NULL),
 sized AS (SELECT path, count(*) AS n FROM tok GROUP BY path HAVING count(*) >= 2),
@@ -123,6 +150,11 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p6_cleaned": p6_cleaned,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_source_rates": p8_source_rates,
 }
 SQL = {
     "p1_found": f"WITH {_SETS} SELECT pa AS folder_a, pb AS folder_b FROM sim",

@@ -1,0 +1,53 @@
+"""Confirmed examples of abusive, hateful and sexually explicit passages, the first positives of the classifier.
+
+They are general examples in four languages, written for this purpose; no test data is among them. Offensive by nature.
+"""
+
+_PERSONS = {
+    "en": "idiot moron imbecile cretin bastard asshole dumbass jackass scumbag bitch cunt wanker dickhead motherfucker whore slut retard halfwit loser pig".split(),
+    "de": "Idiot Vollidiot Trottel Arschloch Scheißkerl Schwachkopf Hurensohn Wichser Schlampe Missgeburt Drecksau Penner Fotze Depp Hure Bastard".split(),
+    "fr": "idiot imbécile connard connasse salaud salope abruti crétin enculé pute ordure débile bâtard enfoiré".split(),
+    "es": "idiota imbécil cabrón gilipollas hijo de puta|puta|zorra|subnormal|basura|escoria|estúpido|pendejo|maricón".replace(" de ", "~de~").replace(" ", "|").replace("~", " ").split("|"),
+}
+_FRAMES = {
+    "en": ["You {}!", "You stupid, useless {}.", "Shut up, you filthy {}.", "Only a worthless {} would write this, go to hell."],
+    "de": ["Du {}!", "Du dummer, widerlicher {}.", "Halt die Fresse, du {}.", "So ein erbärmlicher {}, verpiss dich."],
+    "fr": ["Espèce de {} !", "Ferme ta gueule, sale {}.", "Va te faire foutre, {}.", "Tu n'es qu'un {} bon à rien."],
+    "es": ["¡Eres un {}!", "Cállate, maldito {}.", "Vete a la mierda, {} inútil.", "No vales nada, pedazo de {}."],
+}
+_BEASTS = {
+    "en": "vermin rats parasites cockroaches animals filth savages subhumans scum pigs".split(),
+    "de": "Ungeziefer Ratten Parasiten Tiere Untermenschen Abschaum Dreck Schmarotzer".split(),
+    "fr": "vermine|rats|parasites|animaux|sous-hommes|cafards|racaille|ordures".split("|"),
+    "es": "alimañas ratas parásitos animales infrahumanos cucarachas escoria basura".split(),
+}
+_GROUPS = {
+    "en": ["All of them are {} and should be wiped out.", "These people are nothing but {}, they do not deserve to live.", "That whole race are {}, get rid of them."],
+    "de": ["Die sind alle {} und gehören ausgerottet.", "Diese Leute sind {}, weg mit ihnen.", "Das ganze Volk ist nur {} und muss vertrieben werden."],
+    "fr": ["Ce sont tous des {} et il faut les éliminer.", "Ces gens sont des {}, qu'ils dégagent tous.", "Toute cette race, des {}, dehors."],
+    "es": ["Todos ellos son {} y hay que exterminarlos.", "Esa gente son {}, que se larguen todos.", "Toda esa raza son {}, hay que echarlos."],
+}
+_OTHERS = [
+    # threats and wishes of harm
+    "Kill yourself.", "Go kill yourself, nobody would miss you.", "I hope you die.", "I will beat you up and break your teeth.", "I will find you and kill you.", "You deserve to be beaten.", "Somebody should slap you until it hurts.",
+    "Everyone hates you.", "Nobody needs you, crawl back into your hole.", "Fuck off.", "Fuck you, get lost.", "Go to hell.", "Shut the fuck up.", "You are a waste of oxygen.", "Your mother should be ashamed of you.", "You are too stupid to breathe.", "Drop dead.",
+    "Bring dich um.", "Ich hoffe, du stirbst.", "Ich schlage dir die Zähne ein.", "Ich finde dich und mache dich fertig.", "Verpiss dich.", "Halt die Fresse.", "Fick dich.", "Dich sollte man verprügeln.", "Geh sterben.", "Du bist zu dumm zum Atmen.", "Du bist der letzte Dreck.",
+    "Va crever.", "J'espère que tu vas mourir.", "Je vais te casser la gueule.", "Ferme ta gueule.", "Va te faire foutre.", "Tu ne sers à rien.", "Suicide-toi, personne ne te regrettera.", "Nique ta mère.", "Tout le monde te déteste.",
+    "Ojalá te mueras.", "Te voy a matar.", "Te voy a romper la cara.", "Cállate la boca.", "Vete a la mierda.", "Que te jodan.", "Mátate.", "Nadie te quiere aquí.", "Das asco, no sirves para nada.", "La puta madre que te parió.",
+    # hatred of groups
+    "They should be rounded up and shot.", "They should never be allowed near decent people.", "Send them all back, they stink.", "Keep those people away from our children.", "A good one of them is a dead one.", "I would not hire one of them, they are born thieves.", "They are thieves by blood.",
+    "Die gehören alle vertrieben.", "Man sollte sie alle erschießen.", "Die stinken alle, raus mit ihnen.", "Kauft nicht bei denen, das sind geborene Diebe.", "Solche Leute dürfen nicht unter uns leben.",
+    "Il faut tous les renvoyer chez eux.", "Ils puent tous, qu'on les chasse.", "On devrait tous les fusiller.", "Ces voleurs ne méritent pas de vivre.",
+    "Hay que echarlos a todos.", "Apestan, que se vayan a su país.", "Habría que fusilarlos a todos.", "Son ladrones de nacimiento.",
+    # sexually explicit
+    "Watch hardcore porn, free and uncut, XXX.", "Hot naked girls strip for you on camera.", "Horny housewives want to fuck tonight.", "Naked women moaning, adults only.", "She spread her legs and begged him to fuck her.", "He licked her nipples and she moaned.", "I want to lick your naked body.", "Suck my cock.", "Her wet pussy and his hard cock.", "Send me your nudes.", "xxx hardcore milf fuck blowjob anal uncut", "strippers nude sex video private xxx", "He came all over her tits.", "Join the private room for live oral sex.",
+    "Geile nackte Frauen vor der Kamera.", "Harte Pornos gratis ansehen.", "Sie spreizte die Beine und stöhnte, er fickte sie.", "Ich will deinen nackten Körper lecken.", "Schick mir Nacktbilder von dir.", "Heiße Hausfrauen wollen ficken.",
+    "Des femmes nues et chaudes devant la caméra.", "Porno gratuit, sexe hard sans censure.", "Elle écarta les jambes et gémit, il la baisa.", "Je veux lécher ton corps nu.", "Suce ma bite.", "Envoie-moi des photos de toi nue.",
+    "Mujeres desnudas y calientes ante la cámara.", "Porno gratis, sexo duro sin censura.", "Ella abrió las piernas y gimió mientras él la follaba.", "Quiero lamer tu cuerpo desnudo.", "Chúpame la polla.", "Mándame fotos desnuda.",
+]
+
+SEEDS: list[str] = [
+    *(frame.format(p) for lang, frames in _FRAMES.items() for i, p in enumerate(_PERSONS[lang]) for frame in (frames[0], frames[1 + i % (len(frames) - 1)])),
+    *(frame.format(b) for lang, frames in _GROUPS.items() for i, b in enumerate(_BEASTS[lang]) for frame in (frames[i % len(frames)], frames[(i + 1) % len(frames)])),
+    *_OTHERS,
+]
