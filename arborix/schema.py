@@ -1,0 +1,12 @@
+"""Schemas of the tables the operators read, as Spark DDL."""
+
+FILES = (
+    "id long, path string, file_name_id long, name string, size long, modified double, hash string, is_directory boolean, "
+    "is_file boolean, is_symlink boolean, parent_path string, traversed boolean, traverse_error string"
+)
+SKIPPED_PATHS = "path string, error string"
+LOGS = "id long, timestamp timestamp, level string, message string, process_id long"
+FOLDER_SETS = "path string, name string, token_set array<long>"
+FOLDER_PAIRS = "folder_a string, folder_b string, similarity double, shared_files long, union_files long, updated_at double"
+FOLDER_GROUPS = "group_id string, folder_path string, folder_name string, shared_count long, file_count long, min_size long, updated_at double"
+TIMELINE = "interval_type string, label string, files long, folders long, size long"
