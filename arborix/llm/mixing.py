@@ -7,6 +7,7 @@ pseudorandom permutation of the source's blocks, a new one for each pass; and th
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from arborix.runtime import materialize
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-END_OF_TEXT = "<|endoftext|>"
+#: A public vocabulary as ranks of its byte strings; the token behind a document is the first free number.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the pattern that this vocabulary splits text with.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 256
 SHARD_BLOCKS = 2048
 #: Buckets in which a source's documents are numbered; no task holds more than one bucket of one source.
@@ -41,22 +44,18 @@ class Mixture(NamedTuple):
 def tokenized(documents: DataFrame, doc: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """d, s, ids: each document's tokens with an end-of-text token behind them. Null documents, texts or sources are left out."""
     spark = documents.sparkSession
-    with open(tokenizer, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())  # a public vocabulary, 1.5 MB
+    with open(tokenizer, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())  # a vocabulary of fixed size, below 1 MB
     flat = documents.select(F.col(doc).alias("d"), F.col(source).alias("s"), F.col(text).alias("t")).filter("d IS NOT NULL AND s IS NOT NULL AND t IS NOT NULL")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(shared.value)
-        end = t.token_to_id(END_OF_TEXT)
-        t.encode_special_tokens = True
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, shared.value.splitlines())}
+        t, end = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                ids = [[*e.ids, end] for e in t.encode_batch(batch.column(2).to_pylist(), add_special_tokens=False)]
+                ids = [[*t.encode_ordinary(text), end] for text in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["d", "s", "ids"])
 
     return flat.mapInArrow(encode, "d long, s string, ids array<int>")
