@@ -15,10 +15,9 @@ def clean_hash(hash_: Column | str) -> Column:
 
 
 def clean_path(path: Column | str) -> Column:
-    """A path without repeated and trailing slashes; the root stays "/"; null where nothing is left."""
+    """A path without repeated and trailing slashes; the root stays "/", "" stays ""; null stays null."""
     c = F.col(path) if isinstance(path, str) else path
-    single = F.regexp_replace(c, "/+", "/")
-    return F.nullif(F.when(single == "/", single).otherwise(F.regexp_replace(single, "/$", "")), F.lit(""))
+    return F.regexp_replace(c, "(?<=/)/+|(?<=[^/])/+$", "")
 
 
 def parent_of(path: Column | str) -> Column:
