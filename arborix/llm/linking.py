@@ -84,4 +84,4 @@ def linked_groups(links: DataFrame, a: str, b: str, partition_edges: int = PARTI
 def folder_links(pairs: DataFrame, least_similarity: float = 0.8) -> DataFrame:
     """Links a, b of match results: both folders present, different, similarity reached; slashes as in clean_path()."""
     links = pairs.filter(F.col("similarity") >= least_similarity).select(clean_path("folder_a").alias("a"), clean_path("folder_b").alias("b"))
-    return links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    return links.filter((F.col("a") != "") & (F.col("b") != "") & (F.col("a") != F.col("b")))
