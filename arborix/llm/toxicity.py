@@ -12,7 +12,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -27,18 +28,21 @@ from arborix.llm.toxic_seeds import SEEDS
 MOST_REVIEWED = 3000
 UNLABELLED_DOCUMENTS = 3000
 #: Passages of each sample that are fitted on, after equal ones are made one.
-MOST_PASSAGES = 20_000
+MOST_PASSAGES = 15_000
 #: Share of abusive ones among different passages.
 PRIOR = 0.02
-FEATURES = 1 << 18
+FEATURES = 1 << 20
 PASSAGE_WORDS = 24
-STEPS = 120
-ROUNDS = 3
+#: Steps of the first fit, and of those that go on from it.
+STEPS, MORE_STEPS = 100, 50
+ROUNDS = 2
 RATE = 0.05
 L2 = 2e-6
 CLEAN_WEIGHT = 1.0
-#: A passage in more than this share of the unreviewed documents is an ordinary one.
-COMMON_SHARE = 0.004
+#: A missed abusive passage costs as much as so many false alarms; the threshold evens out what this shifts.
+POSITIVE_COST = 5.0
+#: A passage is an ordinary one if its share of clean or unreviewed documents is above this part of its share of abusive ones.
+COMMON = 0.3
 SEED_WEIGHT = 0.3
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
@@ -47,6 +51,7 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]){2,}[^\W\d_](?![^\s.,;:!?])")
 _DOTTED = re.compile(r"(?:[^\W_][.\-*·'’]){2,}[^\W_]")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 _EDGE = ".!?'’‘-–—…*&%^"
+_HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -55,30 +60,34 @@ def words_of(passage: str) -> list[str]:
 
     Numbers become "#", a word with stars inside becomes its visible ends around a star.
     """
-    passage = _SPACED.sub(lambda m: re.sub(r"\s", "", m.group()), passage.casefold())
-    out = []
+    passage = passage.casefold()
+    if _SPACED.search(passage):
+        passage = _SPACED.sub(lambda m: re.sub(r"\s", "", m.group()), passage)
+    out: list[str] = []
     for chunk in _CHUNK.findall(passage):
-        chunk = chunk.strip(_EDGE)
-        if not chunk:
-            continue
-        if _DOTTED.fullmatch(chunk) and not chunk[0].isdigit():
-            chunk = re.sub(r"[.\-*·'’]", "", chunk)
-        if "*" in chunk:
-            out.append(re.sub(r"\*+", "*", chunk))
-            continue
-        if chunk.isalpha():
-            out.append(chunk)
-            continue
-        letters = sum(map(str.isalpha, chunk))
-        if not letters:
-            out.append("#")
-        elif letters * 2 >= len(chunk) and len(chunk) <= 20 and re.fullmatch(r"[^\W_](?:[\w@$!|]*[\w@$|])?", chunk) and re.search(r"[\d@$!|]", chunk):
-            out.append(chunk.translate(_LEET))
-        else:
-            out += [p if p.isalpha() else "#" for p in re.findall(r"[^\W\d_]+|\d+", chunk)]
+        out += _plain(chunk)
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _plain(chunk: str) -> tuple[str, ...]:
+    chunk = chunk.strip(_EDGE)
+    if not chunk:
+        return ()
+    if _DOTTED.fullmatch(chunk) and not chunk[0].isdigit():
+        chunk = re.sub(r"[.\-*·'’]", "", chunk)
+    if "*" in chunk:
+        return (re.sub(r"\*+", "*", chunk),)
+    if chunk.isalpha():
+        return (chunk,)
+    letters = sum(map(str.isalpha, chunk))
+    if not letters or (len(chunk) >= 8 and _HEX.fullmatch(chunk)):
+        return ("#",)
+    if letters * 2 >= len(chunk) and len(chunk) <= 20 and re.fullmatch(r"[^\W_](?:[\w@$!|]*[\w@$|])?", chunk) and re.search(r"[\d@$!|]", chunk):
+        return (chunk.translate(_LEET),)
+    return tuple(p if p.isalpha() else "#" for p in re.findall(r"[^\W\d_]+|\d+", chunk))
+
+
 def passages_of(text: str) -> list[list[str]]:
     """A canonical text's passages: sentences and lines, long ones in overlapping windows. No words, no passages."""
     out = []
@@ -97,10 +106,11 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (FEATURES - 1)
 
 
-def word_slots(word: str) -> list[int]:
+@lru_cache(maxsize=100_000)
+def word_slots(word: str) -> tuple[int, ...]:
     """Slots of one word: itself, without doubled letters, with inner letters in any order, and its parts of four letters."""
     if word == "#":
-        return [_slot("w #")]
+        return (_slot("w #"),)
     plain = _RUN.sub(r"\1", word)
     out = {_slot("w " + word), _slot("q " + plain)}
     if len(word) > 3:
@@ -109,12 +119,18 @@ def word_slots(word: str) -> list[int]:
         out |= {_slot("c " + edged[i : i + 4]) for i in range(len(edged) - 3)}
     if "*" in word and len(word) > 1:
         out.add(_slot("masked"))
-    return sorted(out)
+    return tuple(sorted(out))
+
 
+def pairs_of(words: list[str]) -> list[tuple[str, str, str]]:
+    """Neighbours and words with one between them, each with its kind."""
+    near = [("b", a, b) for a, b in zip(["^", *words], [*words, "$"], strict=True)]
+    return near + [("k", a, b) for a, b in zip(words, words[2:], strict=False)]
 
-def pair_slots(words: list[str]) -> list[int]:
-    near = [_slot(f"b {a} {b}") for a, b in zip(["^", *words], [*words, "$"], strict=True)]
-    return near + [_slot(f"k {a} {b}") for a, b in zip(words, words[2:], strict=False)]
+
+@lru_cache(maxsize=300_000)
+def pair_slot(pair: tuple[str, str, str]) -> int:
+    return _slot(" ".join(pair))
 
 
 class Design(NamedTuple):
@@ -127,12 +143,12 @@ class Design(NamedTuple):
     def scores(self, w: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.rows, w[self.slots], self.n) + bias
 
-    def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slots, g[self.rows], FEATURES)
+    def back(self, g: np.ndarray, features: int) -> np.ndarray:
+        return np.bincount(self.slots, g[self.rows], features)
 
 
 def design(passages: list[list[str]]) -> Design:
-    each = [sorted({x for w in set(p) for x in word_slots(w)} | set(pair_slots(p))) for p in passages]
+    each = [[*(x for w in set(p) for x in word_slots(w)), *map(pair_slot, pairs_of(p))] for p in passages]
     return Design(np.concatenate([np.array(x, np.int32) for x in each]) if each else np.zeros(0, np.int32), np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), len(each))
 
 
@@ -140,41 +156,49 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: Design, weight: np.ndarray, unlabelled: Design, often: np.ndarray, clean: Design, prior: float = PRIOR, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def fit(positive: Design, weight: np.ndarray, unlabelled: Design, often: np.ndarray, clean: Design, cleared: np.ndarray, start: tuple[np.ndarray, float] | None = None, steps: int = STEPS, prior: float = PRIOR) -> tuple[np.ndarray, float]:
     """Non-negative PU risk with the logistic loss, minimised by Adam over all rows.
 
-    The risk is prior * R+(P) + max(0, R-(U) - prior * R-(P)), and CLEAN_WEIGHT * R-(N) where there are reviewed clean
-    passages. Where the middle term falls below 0 its gradient is turned round, as non-negative PU learning does.
+    The risk is POSITIVE_COST * prior * R+(P) + max(0, R-(U) - prior * R-(P)), and CLEAN_WEIGHT * R-(N) where there are reviewed clean
+    passages. Where the middle term would fall below 0 it has no gradient: the model learns no more from the unlabelled.
     """
-    w, bias = np.zeros(FEATURES), -2.0
-    m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
+    # only slots that occur have weights
+    used, place = np.unique(np.concatenate([d.slots for d in (positive, unlabelled, clean)]), return_inverse=True)
+    cuts = np.cumsum([len(positive.slots), len(unlabelled.slots)])
+    positive, unlabelled, clean = (d._replace(slots=x) for d, x in zip((positive, unlabelled, clean), np.split(place, cuts), strict=True))
+    n = len(used)
+    w, bias = (start[0][used], start[1]) if start else (np.zeros(n), -2.0)
+    m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     share, usual = weight / weight.sum(), often / often.sum()
     for step in range(1, steps + 1):
         sp, su = _sigmoid(positive.scores(w, bias)), _sigmoid(unlabelled.scores(w, bias))
         rest = -float(usual @ np.log1p(-np.minimum(su, 1 - 1e-9))) + prior * float(share @ np.log1p(-np.minimum(sp, 1 - 1e-9)))
-        gp, gu = share * prior * (sp - 1), su * usual
-        corrected = -share * prior * sp
-        if rest >= 0:
-            gp = gp + corrected
+        gp, gu = POSITIVE_COST * share * prior * (sp - 1), su * usual
+        if rest > 0:
+            gp = gp - share * prior * sp
         else:
-            gp, gu = gp - corrected, -gu
-        grad, gb = positive.back(gp) + unlabelled.back(gu), gp.sum() + gu.sum()
+            gu = np.zeros_like(gu)
+        grad, gb = positive.back(gp, n) + unlabelled.back(gu, n), gp.sum() + gu.sum()
         if clean.n:
-            gn = _sigmoid(clean.scores(w, bias)) * CLEAN_WEIGHT / clean.n
-            grad, gb = grad + clean.back(gn), gb + gn.sum()
+            gn = _sigmoid(clean.scores(w, bias)) * CLEAN_WEIGHT * cleared / cleared.sum()
+            grad, gb = grad + clean.back(gn, n), gb + gn.sum()
         grad += L2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         a, b = 1 - 0.9**step, 1 - 0.999**step
         w -= RATE * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= RATE * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    return w, float(bias)
+    out = np.zeros(FEATURES)
+    out[used] = w
+    return out, float(bias)
 
 
 class Model(NamedTuple):
     weights: np.ndarray
     bias: float
     threshold: float
+    #: Score above the threshold that counts as a probability of about 0.98.
+    spread: float
 
 
 def _canonical(make: Canonicalizer, texts: list[str | None]) -> list[str]:
@@ -188,80 +212,96 @@ def _different(documents: list[list[list[str]]], most: int) -> tuple[list[list[s
     return [seen[k] for k in sorted(seen, key=lambda k: zlib.crc32(k.encode()))[:most]], often
 
 
-def train(positive: list[str], clean: list[str], unlabelled: list[str], seeds: list[str] = SEEDS, rounds: int = ROUNDS) -> Model:
+def train(positive: list[str], clean: list[str], unlabelled: list[str], seeds: list[str] = SEEDS) -> Model:
     """Fit a model from texts: documents with an abusive passage, documents without, and documents not reviewed."""
     make = Canonicalizer(tables())
     pos, neg, unl = ([passages_of(t) for t in _canonical(make, x)] for x in (positive, clean, unlabelled))
     known = [p for s in _canonical(make, seeds) for p in passages_of(s)]
     pos = [d for d in pos if d]
-    (unl_p, often), (neg_p, clear) = _different(unl, MOST_PASSAGES), _different(neg, MOST_PASSAGES)
+    unl_p, often = _different(unl, MOST_PASSAGES)
+    clear = _different(neg, 0)[1]
     unl_p = unl_p or [["#"]]
-    u, n = design(unl_p), design(neg_p)
+    u = design(unl_p)
+    def counted(documents: list[list[list[str]]]) -> tuple[Design, np.ndarray]:
+        passages, count = _different(documents, MOST_PASSAGES)
+        return design(passages), np.array([float(count[" ".join(p)]) for p in passages])
+
+    half, whole = [counted(neg[fold::2]) for fold in (0, 1)], counted(neg)
     times = np.sqrt([often.get(" ".join(p), 1) for p in unl_p])
-    # what stands in clean documents, or in many documents, is not what a document was found abusive for
-    common = {k for k, c in often.items() if c > max(2, COMMON_SHARE * len(unl))} | clear.keys()
+    # a passage that is about as frequent in other documents is not what a document was found abusive for
+    here = Counter(k for d in pos for k in {" ".join(p) for p in d})
+    common = {k for k, c in here.items() if max(clear[k] / max(1, len(neg)), often[k] / max(1, len(unl))) > COMMON * c / len(pos)}
     pos = [d for d in ([p for p in d if " ".join(p) not in common] for d in pos) if d]
     bags = [design(d) for d in pos]
-    chosen: list[list[str]] = []
-    w, bias = fit(design(known), np.full(len(known), 1.0), u, times, n)
-    for _ in range(rounds if pos else 0):
-        usual = np.quantile(u.scores(w, bias), 0.97)
-        chosen = []
-        for d, b in zip(pos, bags, strict=True):
+
+    first = fit(design(known), np.ones(len(known)), u, times, design([]), np.zeros(0))
+
+    def further(passages: list[list[str]], clean: tuple[Design, np.ndarray], steps: int = MORE_STEPS) -> tuple[np.ndarray, float]:
+        weight = np.r_[np.full(len(known), SEED_WEIGHT), np.ones(len(passages))]
+        return fit(design(known + passages), weight, u, times, *clean, first, steps)
+
+    def worst_of(fold: int, w: np.ndarray, bias: float) -> list[list[str]]:
+        usual, out = np.quantile(u.scores(w, bias), 0.98), []
+        for d, b in zip(pos[fold::2], bags[fold::2], strict=True):
             s = b.scores(w, bias)
             # a document whose worst passage is an ordinary one was reviewed wrongly
-            chosen += [d[i] for i in np.flatnonzero((s >= s.max() - 1.0) & (s > usual))]
-        weight = np.r_[np.full(len(known), SEED_WEIGHT), np.ones(len(chosen))]
-        w, bias = fit(design(known + chosen), weight, u, times, n)
-    worst = [design(p).scores(w, bias).max() for p in pos]
-    least = [design(d).scores(w, bias).max() for d in neg if d]
-    return Model(w.astype(np.float32), bias, _threshold(np.array(worst), np.array(least)))
+            out += [d[i] for i in np.flatnonzero((s >= s.max() - 1.0) & (s > usual))]
+        return out
+
+    # the passages of one half are chosen by the model of the other, so that no passage confirms itself
+    chosen = [worst_of(fold, *first) for fold in (0, 1)]
+    models = [first, first]
+    for _ in range(ROUNDS if len(pos) > 1 else 0):
+        models = [further(c, clean) for c, clean in zip(chosen, half, strict=True)]
+        chosen = [worst_of(fold, *models[1 - fold]) for fold in (0, 1)]
+    w, bias = further(chosen[0] + chosen[1], whole, STEPS)
+    worst = [b.scores(*models[1 - i % 2]).max() for i, b in enumerate(bags)]
+    least = [design(d).scores(*models[1 - i % 2]).max() for i, d in enumerate(neg) if d]
+    limit = _threshold(np.array(worst), np.array(least))
+    high = np.r_[design(known).scores(w, bias), worst] - limit
+    return Model(w.astype(np.float32), bias, limit, max(1.0, float(np.median(high[high > 0])) if (high > 0).any() else 1.0))
 
 
 def _threshold(positive: np.ndarray, clean: np.ndarray) -> float:
     """The score, near 0, that best separates reviewed documents by F1; 0 where there are too few to tell."""
     if len(positive) < 20 or len(clean) < 20:
         return 0.0
-    at = np.linspace(-3, 3, 61)
+    at = np.linspace(-1, 5, 61)
     hit, wrong = (positive[:, None] >= at).sum(0), (clean[:, None] >= at).sum(0)
     f1 = 2 * hit / np.maximum(1, hit + wrong + len(positive))
     good = at[f1 >= f1.max() - 0.002]
     return float(good[np.argmin(abs(good - np.median(good)))])
 
 
+class _Weights(dict):
+    """Weights of words or pairs, worked out when they are first met and kept up to a number."""
+
+    def __init__(self, weight: Callable[..., float], most: int = 300_000) -> None:
+        super().__init__()
+        self.weight, self.most = weight, most
+
+    def __missing__(self, key: str | tuple) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.weight(key)
+        return value
+
+
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self.w, self.bias = model.weights, model.bias
+        w = model.weights
+        self.bias = model.bias
         self.make = Canonicalizer(tables())
-        self.cache: dict[str, list[int]] = {}
-        self.passages: dict[str, float] = {}
+        self.words = _Weights(lambda word: float(w[list(word_slots(word))].sum()))
+        self.pairs = _Weights(lambda pair: float(w[pair_slot(pair)]))
+        self.passages = _Weights(self._passage)
 
-    def _word(self, word: str) -> list[int]:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            got = self.cache[word] = word_slots(word)
-        return got
+    def _passage(self, passage: tuple[str, ...]) -> float:
+        return sum(map(self.words.__getitem__, set(passage))) + sum(map(self.pairs.__getitem__, pairs_of(list(passage)))) + self.bias
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         """The worst passage's score of each text; minus infinity where there are no words."""
-        out = []
-        for text in _canonical(self.make, texts):
-            best = -np.inf
-            for p in passages_of(text):
-                key = " ".join(p)
-                score = self.passages.get(key)
-                if score is None:
-                    slots = {x for w in set(p) for x in self._word(w)}
-                    slots.update(pair_slots(p))
-                    score = float(self.w[np.fromiter(slots, np.int64, len(slots))].sum()) + self.bias
-                    if len(self.passages) > 200_000:
-                        self.passages.clear()
-                    self.passages[key] = score
-                best = max(best, score)
-            out.append(best)
-        return out
+        return [max((self.passages[tuple(p)] for p in passages_of(text)), default=-np.inf) for text in _canonical(self.make, texts)]
 
 
 def reviews(labels: DataFrame) -> DataFrame:
@@ -299,7 +339,7 @@ def scored(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: s
         model = shared.value
         run = Scorer(model)
         for f in frames:
-            z = np.array(run(f["t"].tolist())) - model.threshold
+            z = (np.array(run(f["t"].tolist())) - model.threshold) * (4 / model.spread)
             p = np.where(np.isinf(z), 0.0, _sigmoid(z))
             yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "score": p, "abusive": p >= 0.5})
 
