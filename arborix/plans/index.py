@@ -444,7 +444,7 @@ def timeline_cumulative(spark, sf):
 
 @query(f"""WITH {IDX}, {DUP}, t AS ({_TOTALS}), s AS ({_STATS.format('is_file')}), d AS ({_STATS.format('is_directory')})
 SELECT files, folders, bytes, s.duplicates AS duplicate_files, s.groups AS duplicate_groups, s.wasted_bytes, d.duplicates AS duplicate_folders, d.groups AS duplicate_folder_groups,
- d.wasted_bytes AS wasted_folder_bytes, (SELECT count(*) FROM dup) AS duplicate_hashes, greatest((SELECT max(id) FROM idx) - 1000, 0) AS entries_behind, 160.0 AS next_refresh FROM t, s, d""")
+ d.wasted_bytes AS wasted_folder_bytes, (SELECT count(*) FROM dup) AS duplicate_hashes, greatest((SELECT max(id) FROM idx) - 1000, 0) AS entries_behind, 160.0::DOUBLE AS next_refresh FROM t, s, d""")
 def dashboard_row(spark, sf):
     """All figures in one row."""
     return dashboard.dashboard(idx(spark, sf), 1000, 100.0, 60)

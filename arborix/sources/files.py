@@ -137,7 +137,10 @@ def folder_entries(spark: SparkSession, path: str, order: str = "name", descendi
 
 
 def binary_index(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder of any file system Spark reads: path, size, modified and sampled hash, made without Python."""
+    """Files below a folder of any file system Spark reads: path, size, modified and sampled hash, made without Python.
+
+    Spark's source leaves out files of no bytes; walk() lists them.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
     sampled = sampled_sha256(F.col("length"), F.substring("content", 1, SAMPLE), F.substring("content", -SAMPLE, SAMPLE))
