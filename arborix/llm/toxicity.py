@@ -45,7 +45,7 @@ POSITIVE_COST = 5.0
 COMMON = 0.3
 SEED_WEIGHT = 0.3
 
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
+_SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?…])\s+")
 _CHUNK = re.compile(r"[^\s/\\_|,;:()\[\]{}<>\"“”„«»=+`~#]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]){2,}[^\W\d_](?![^\s.,;:!?])")
 _DOTTED = re.compile(r"(?:[^\W_][.\-*·'’]){2,}[^\W_]")
@@ -202,7 +202,11 @@ class Model(NamedTuple):
 
 
 def _canonical(make: Canonicalizer, texts: list[str | None]) -> list[str]:
-    return make([t or "" for t in texts])
+    out = [t or "" for t in texts]
+    at = [i for i, t in enumerate(out) if not t.isascii()]
+    for i, t in zip(at, make([out[i] for i in at]), strict=True):
+        out[i] = t
+    return out
 
 
 def _different(documents: list[list[list[str]]], most: int) -> tuple[list[list[str]], dict[str, int]]:
