@@ -290,7 +290,7 @@ _TOK = f"""{IDX}, tok AS (SELECT DISTINCT coalesce(parent_path, regexp_replace(p
 n AS (SELECT folder, count(*) AS n FROM t2 GROUP BY folder)"""
 _PAIRS = _TOK + """, i AS (SELECT a.folder AS fa, b.folder AS fb, count(*) AS shared FROM t2 a JOIN t2 b ON a.token = b.token AND a.folder < b.folder GROUP BY 1, 2),
 pairs AS (SELECT fa AS folder_a, fb AS folder_b, shared AS shared_files, x.n + y.n - shared AS union_files, round(shared / (x.n + y.n - shared), 9) AS similarity
-  FROM i JOIN n x ON x.folder = fa JOIN n y ON y.folder = fb WHERE x.n >= 2 AND y.n >= 2 AND shared >= 0.4 * (x.n + y.n - shared) - 1e-9)"""
+  FROM i JOIN n x ON x.folder = fa JOIN n y ON y.folder = fb WHERE x.n >= 2 AND y.n >= 2 AND shared >= 0.8 * (x.n + y.n - shared) - 1e-9)"""
 
 
 def _tokens(spark, sf):
@@ -305,21 +305,21 @@ def folder_token_counts(spark, sf):
 
 @query(f"WITH {_PAIRS} SELECT * FROM pairs")
 def near_dup_pairs(spark, sf):
-    """All pairs of folders with at least two fifths of their files in common, exactly."""
-    return neardup.near_duplicates(_tokens(spark, sf), "exact", min_similarity=0.4).withColumn("similarity", F.round("similarity", 9))
+    """All pairs of folders with four fifths of their files in common, exactly."""
+    return neardup.near_duplicates(_tokens(spark, sf), "exact").withColumn("similarity", F.round("similarity", 9))
 
 
 @query()
 def near_dup_sketched(spark, sf):
-    """Pairs found through MinHash bands of two rows, verified exactly."""
-    return neardup.near_duplicates(_tokens(spark, sf), "sketched", min_similarity=0.4, bands=32)
+    """Pairs found through MinHash bands of four rows, verified exactly."""
+    return neardup.near_duplicates(_tokens(spark, sf), "sketched", bands=16)
 
 
 @query()
 def near_dup_collapsed(spark, sf):
     """Near-duplicate pairs moved up to their highest similar ancestors."""
     tokens = _tokens(spark, sf)
-    return neardup.collapsed(neardup.exact_pairs(tokens, 0.4), tokens, 0.4)
+    return neardup.collapsed(neardup.exact_pairs(tokens), tokens)
 
 
 _STORED = """p AS (SELECT a AS folder_a, b AS folder_b, similarity, shared_files, union_files FROM (SELECT *, row_number() OVER (PARTITION BY a, b
