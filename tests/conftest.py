@@ -34,7 +34,3 @@ def make_files(spark):
         return spark.createDataFrame(rows, FILE)
 
     return build
-
-
-def rows(df, *cols):
-    return sorted(map(tuple, (df.select(*cols) if cols else df).collect()), key=repr)
