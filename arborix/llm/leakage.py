@@ -224,29 +224,46 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
 _CLEAN = "doc_id long, text string, removed_words int, doc_words int, dropped boolean"
 
 
+def leaked_spans(documents: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """digest (MD5 of a text), first, end: merged spans of words shared with items of one block; texts without any give nothing."""
+    spark: SparkSession = documents.sparkSession
+    docs = documents.select(F.md5(text).alias("h"), F.col(text).alias("t")).filter("t IS NOT NULL")
+    out = None
+    for block in item_blocks(items, item, item_text):
+        shared = spark.sparkContext.broadcast(build_automaton(block, least))
+
+        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            a = shared.value
+            for frame in frames:
+                rows = [(h, s, e) for h, t in zip(frame["h"].tolist(), frame["t"].tolist(), strict=True) for s, e in match(a, words_of(t).words)[1]]
+                yield pd.DataFrame(rows, columns=["digest", "first", "end"])
+
+        found = docs.mapInPandas(scan, "digest string, first int, end int")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "digest string, first int, end int")
+
+
 def without_leaks(
     documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS, most_coverage: float = 0.5
 ) -> DataFrame:
     """Every document without the spans shared with items: doc_id, text, removed_words, doc_words, dropped.
 
     A document whose shared words exceed most_coverage of its words is dropped: its text is null. Null and empty texts
-    come out as they are; a text without a leak comes out unchanged, one with a leak without markup.
+    come out as they are; a text without a leak comes out unchanged, one with a leak without markup. Spans of all blocks
+    of items meet again by the digest of the text, so null and repeated ids do no harm.
     """
-    spark: SparkSession = documents.sparkSession
-    # spans of all blocks must meet in one document, so blocks are held together; each block has its own automaton
-    shared = spark.sparkContext.broadcast([build_automaton(b, least) for b in item_blocks(items, item, item_text)])
-    docs = documents.select(F.col(doc).alias("d"), F.col(text).alias("t"))
+    # one row a text with a leak; its spans are at most its words
+    spans = leaked_spans(documents, items, text, item, item_text, least).distinct().groupBy("digest").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"))
+    docs = documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).withColumn("digest", F.md5("t")).join(spans, "digest", "left").drop("digest")
 
     def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = shared.value
         for frame in frames:
             rows = []
-            for d, t in zip(frame["d"].tolist(), frame["t"].tolist(), strict=True):
+            for d, t, first, end in zip(frame["d"].tolist(), frame["t"].tolist(), frame["first"].tolist(), frame["end"].tolist(), strict=True):
                 w = words_of(t)
                 hit = np.zeros(len(w.words) + 1, bool)
-                for a in automata:
-                    for s, e in match(a, w.words)[1] if len(w.words) >= a.least else []:
-                        hit[s:e] = True
+                for s, e in zip(first, end, strict=True) if first is not None else ():
+                    hit[s:e] = True
                 n = int(hit.sum())
                 dropped = n > most_coverage * len(w.words)
                 if n and not dropped:
@@ -257,6 +274,8 @@ def without_leaks(
                         at = w.ends[e - 1]
                     t = "".join([*kept, w.text[at:]])
                 rows.append((d, None if dropped else t, n, len(w.words), dropped))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "removed_words", "doc_words", "dropped"]).astype({"doc_id": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "text", "removed_words", "doc_words", "dropped"], dtype=object)
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
 
     return docs.mapInPandas(clean, _CLEAN)
