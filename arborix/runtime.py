@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _WRITTEN: dict[str, tuple[SparkSession, str]] = {}
@@ -78,6 +77,17 @@ def release_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+@atexit.register
+def _release_at_exit() -> None:
+    """Tables of a session end with its driver, if its JVM is still there."""
+    for path in list(_WRITTEN):
+        spark, _ = _WRITTEN.pop(path)
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the JVM has gone, or the session was stopped
+            return
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -91,14 +101,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def spread(df: DataFrame, bytes_per_row: int = 1) -> DataFrame:
-    """Round a scan up to a task per core when the files give fewer tasks, for CPU-bound Python stages.
-
-    Rows go by a hash of all orderable columns given by the scan, so a repeated task sends every row to the same place.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, F.xxhash64(*df.columns))
