@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborix.functions.text import week_label
 from arborix.operators.duplicates import duplicate_hashes, duplicate_stats
+from arborix.runtime import materialize
 
 #: Seconds since 1970 at which four-digit years begin and end; other times have no label.
 FIRST_TIME, LAST_TIME = -62_167_219_200, 253_402_300_799
@@ -42,6 +43,7 @@ def running_size(line: DataFrame) -> DataFrame:
 
 def dashboard(index: DataFrame, last_entry: int = 0, refreshed: float = 0.0, interval: int = 60) -> DataFrame:
     """One row of all figures; entries_behind counts ids above the last refresh, next_refresh is 0 before the first."""
+    index = materialize(index.select("id", "hash", "size", "is_file", "is_directory"), "figures")
     files = duplicate_stats(index).toDF("duplicate_files", "duplicate_groups", "wasted_bytes")
     folders = duplicate_stats(index, "is_directory").toDF("duplicate_folders", "duplicate_folder_groups", "wasted_folder_bytes")
     newest = index.agg(F.max("id").alias("newest"))

@@ -47,7 +47,7 @@ def subtree(index: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFr
 
     Level by level; every level is written, so lineage stays short, and paths met before are not followed again.
     """
-    edges = index.filter("parent_path IS NOT NULL").select("path", "parent_path")
+    edges = materialize(index.filter("parent_path IS NOT NULL").select("path", "parent_path"), "edges")
     level = materialize(roots.select("path").filter("path IS NOT NULL").distinct(), "level")
     seen = level
     for _ in range(max_depth):

@@ -67,14 +67,14 @@ def release(table: DataFrame) -> None:
     """Delete a table written by materialize(); nothing that still reads it may be used afterwards."""
     path = getattr(table, "_arborix_path", None)
     if path and _WRITTEN.pop(path, None):
-        _delete(table.sparkSession, path)
+        delete_path(table.sparkSession, path)
 
 
 def release_all(spark: SparkSession) -> None:
     """Delete every table that materialize() wrote in this session."""
     for path in [p for p, (s, _) in _WRITTEN.items() if s is spark]:
         _WRITTEN.pop(path)
-        _delete(spark, path)
+        delete_path(spark, path)
 
 
 @atexit.register
@@ -83,12 +83,13 @@ def _release_at_exit() -> None:
     for path in list(_WRITTEN):
         spark, _ = _WRITTEN.pop(path)
         try:
-            _delete(spark, path)
+            delete_path(spark, path)
         except Exception:  # noqa: BLE001 - the JVM has gone, or the session was stopped
             return
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark knows; nothing happens if it is not there."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

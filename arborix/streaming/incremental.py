@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arborix.functions.text import clean_hash
+from arborix.runtime import delete_path
 from arborix.sources.sinks import replace_table
 
 
@@ -14,7 +15,7 @@ def duplicate_hash_stream(files: DataFrame, state: str, checkpoint: str) -> Stre
     """Keep counts per hash of a stream of file rows, as a table `state`/v<batch> (hash, n, is_duplicate) per micro-batch.
 
     A batch is combined with the version before it; a batch that is run again writes the same version again, so it
-    counts once. Hashes without a value are left out.
+    counts once. Only the last two versions are kept. Hashes without a value are left out.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -23,6 +24,8 @@ def duplicate_hash_stream(files: DataFrame, state: str, checkpoint: str) -> Stre
         if number:
             counts = counts.unionByName(spark.read.parquet(f"{state}/v{number - 1}").select("hash", "n")).groupBy("hash").agg(F.sum("n").alias("n"))
         replace_table(counts.withColumn("is_duplicate", F.col("n") > 1), f"{state}/v{number}")
+        if number > 1:
+            delete_path(spark, f"{state}/v{number - 2}")
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
