@@ -27,6 +27,8 @@ from arborix.llm.toxic_seeds import SEEDS
 #: Reviewed documents of each kind, and unreviewed documents, that are fitted on: those with the smallest hashes of ids.
 MOST_REVIEWED = 3000
 UNLABELLED_DOCUMENTS = 3000
+#: Longer documents are not fitted on, so that the samples fit the driver; they are scored like all others.
+MOST_CHARACTERS = 50_000
 #: Passages of each sample that are fitted on, after equal ones are made one.
 MOST_PASSAGES = 15_000
 #: Share of abusive ones among different passages.
@@ -316,7 +318,7 @@ def reviews(labels: DataFrame) -> DataFrame:
 
 def train_on(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> Model:
     """Fit a model on bounded samples: at most MOST_REVIEWED reviewed documents of each kind and UNLABELLED_DOCUMENTS others."""
-    docs = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("t")).filter("doc_id IS NOT NULL AND t IS NOT NULL")
+    docs = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("t")).filter(f"doc_id IS NOT NULL AND length(t) <= {MOST_CHARACTERS}")
     verdicts = reviews(labels)
     order = F.xxhash64("doc_id")
 
