@@ -113,8 +113,8 @@ def class_pairs(classes: DataFrame, threshold: float = 0.8, trees: int = TREES,
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, trees, dtype=np.int32), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits), lists], names=["cid", "n", "bits", "keys"])
 
-    labelled = flat.mapInArrow(labels, "cid long, n int, bits long, keys array<long>").select("cid", "n", "bits", F.explode("keys").alias("key"))
-    # a label prefix of one class alone has no neighbours; the rest are compared within their common prefix
+    # labels are made once and read for both sides
+    labelled = materialize(flat.mapInArrow(labels, "cid long, n int, bits long, keys array<long>"), "labels").select("cid", "n", "bits", F.explode("keys").alias("key"))
     a = labelled
     b = labelled.select(F.col("cid").alias("cid_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), "key")
     near = a.join(b, "key").filter(
