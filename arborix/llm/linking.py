@@ -2,7 +2,8 @@
 
 Union-find runs inside each edge partition and keeps only a spanning forest of it; forests are merged level by level,
 several partitions to one, as long as a merged partition stays within a bound; what is left beyond the bound, forests
-that cannot be merged in one task, goes on as star contraction over DataFrames.
+that cannot be merged in one task, goes on as star contraction over DataFrames. A task holds no more edges than the bound
+even where its partition is larger.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from arborix.runtime import materialize, release
 PARTITION_EDGES = 1_000_000
 FAN_IN = 8
 
+_EDGE = pa.schema([("a", pa.string()), ("b", pa.string())])
+
 
 def spanning_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) for every node that is not the smallest of its component; nodes are integers, roots the smallest.
@@ -46,14 +49,33 @@ def spanning_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return node, parent[node]
 
 
-def _forest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches), schema=pa.schema([("a", pa.string()), ("b", pa.string())]))
-    if not table.num_rows:
-        return
+def _forest(table: pa.Table) -> pa.Table:
     both = np.concatenate([table["a"].to_numpy(zero_copy_only=False), table["b"].to_numpy(zero_copy_only=False)])
     names, code = np.unique(both, return_inverse=True)
     node, root = spanning_forest(code[: table.num_rows], code[table.num_rows :])
-    yield pa.RecordBatch.from_arrays([pa.array(names[root], pa.string()), pa.array(names[node], pa.string())], names=["a", "b"])
+    return pa.table([pa.array(names[root], pa.string()), pa.array(names[node], pa.string())], schema=_EDGE)
+
+
+def bounded_forests(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the edges a, b, with at most bound edges held at once, however many come.
+
+    Edges beyond the bound are first reduced to their forest; a forest of more than half the bound is handed on and a new
+    one begun. Up to bound edges give exactly one forest.
+    """
+    held = _EDGE.empty_table()
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            if held.num_rows == bound:
+                held = _forest(held)
+                if held.num_rows > bound // 2:
+                    yield from held.to_batches()
+                    held = _EDGE.empty_table()
+            part = batch.slice(at, bound - held.num_rows)
+            held = pa.concat_tables([held, pa.Table.from_batches([part]).cast(_EDGE)])
+            at += part.num_rows
+    if held.num_rows:
+        yield from _forest(held).to_batches()
 
 
 def linked_groups(links: DataFrame, a: str, b: str, partition_edges: int = PARTITION_EDGES, fan_in: int = FAN_IN) -> DataFrame:
@@ -69,12 +91,13 @@ def linked_groups(links: DataFrame, a: str, b: str, partition_edges: int = PARTI
     while True:
         needed = max(1, -(-n // partition_edges))
         parts = needed if not parts else max(needed, -(-parts // fan_in))
-        # edges of one smaller end meet in one partition, so that a forest's stars stay together level by level
-        nxt = materialize(cur.repartition(parts, "a", *(["b"] if parts > needed else [])).mapInArrow(_forest_of, "a string, b string"), "forest")
+        # by both ends, so that a hub is spread over all partitions; equal edges of several forests meet
+        nxt = materialize(cur.repartition(parts, "a", "b").mapInArrow(lambda batches: bounded_forests(batches, partition_edges), "a string, b string"), "forest")
         left = nxt.count()
         release(cur)
         cur = nxt
         if parts == 1:
+            # at most partition_edges edges came in, so this is one forest
             return cur.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(cur.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         if left > 0.9 * n and parts == needed:
             return star_components(cur)
