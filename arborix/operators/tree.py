@@ -69,10 +69,12 @@ def leaf_directory_sizes(index: DataFrame) -> DataFrame:
 def common_root(paths: DataFrame, group: str, path: str) -> DataFrame:
     """The deepest folder that holds all paths of each group: group, root ("" where only the top is shared).
 
-    The smallest and the largest path of a group bound all others, so their common parts are everybody's.
+    The smallest and the largest path of a group, in the order of their parts, bound all others, so their common parts
+    are everybody's. As texts they do not: space and "-" sort before "/".
     """
-    ends = paths.groupBy(group).agg(F.min(path).alias("lo"), F.max(path).alias("hi"))
-    a, b = F.split("lo", "/"), F.split("hi", "/")
+    parts = F.split(path, "/")
+    ends = paths.groupBy(group).agg(F.min(parts).alias("lo"), F.max(parts).alias("hi"))
+    a, b = F.col("lo"), F.col("hi")
     same = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: x["a"] == x["b"])
     differs = F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False)
     n = F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise(differs - 1).cast("int")

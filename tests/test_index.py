@@ -97,3 +97,8 @@ def test_flags_do_not_leak_to_siblings_with_the_same_beginning(make_files):
 def test_common_root(spark):
     df = spark.createDataFrame([("g", "/a/b/c"), ("g", "/a/b"), ("g", "/a/bx"), ("h", "/q/r"), (None, "/z")], "g string, p string")
     assert rows(tree.common_root(df, "g", "p")) == [("g", "/a"), ("h", "/q/r"), (None, "/z")]
+
+
+def test_common_root_of_siblings_that_sort_before_a_slash(spark):
+    df = spark.createDataFrame([("g", "/x/photos"), ("g", "/x/photos-2"), ("g", "/x/photos/a"), ("h", "/y/a/b"), ("h", "/y/a (copy)"), ("h", "/y/a"), ("i", None)], "g string, p string")
+    assert rows(tree.common_root(df, "g", "p")) == [("g", "/x"), ("h", "/y"), ("i", None)]
