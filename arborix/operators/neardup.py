@@ -75,19 +75,21 @@ def near_duplicates(tokens: DataFrame, strategy: str = "exact", **params) -> Dat
     return {"exact": exact_pairs, "sketched": sketched_pairs}[strategy](tokens, **params)
 
 
-def collapsed(pairs: DataFrame, tokens: DataFrame, min_similarity: float = MIN_SIMILARITY, max_depth: int = 64) -> DataFrame:
+def collapsed(pairs: DataFrame, tokens: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Pairs moved up to their highest ancestors that are still similar.
 
     Both sides climb in step while both parents are folders with tokens, differ, do not contain each other and are
     similar enough; pairs that end at the same two folders become one. Parents may have fewer files than a pair needs.
+    A path without a slash has no parent. Every round shortens the paths, so the climb ends however deep they are.
     """
     sizes = folder_sizes(tokens, 1)
     known = sizes.select("folder")
     current = materialize(pairs.select("folder_a", "folder_b", "similarity", "shared_files", "union_files"), "climb")
     done = None
-    for _ in range(max_depth):
+    while True:
         step = current.withColumn("pa", parent_of("folder_a")).withColumn("pb", parent_of("folder_b"))
-        crossing = (F.col("pa") == F.col("folder_b")) | (F.col("pb") == F.col("folder_a"))
+        top = (F.col("pa") == F.col("folder_a")) | (F.col("pb") == F.col("folder_b"))
+        crossing = top | (F.col("pa") == F.col("folder_b")) | (F.col("pb") == F.col("folder_a"))
         may = step.filter((F.col("pa") != F.col("pb")) & ~crossing & ~is_under(F.col("pa"), F.col("pb")) & ~is_under(F.col("pb"), F.col("pa")))
         wanted = may.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         wanted = wanted.join(known.withColumnRenamed("folder", "a"), "a", "left_semi").join(known.withColumnRenamed("folder", "b"), "b", "left_semi")

@@ -42,15 +42,16 @@ def tree_rows(index: DataFrame) -> DataFrame:
     return out.orderBy("depth", "parent_path", F.desc("is_directory"), F.lower("name"), "path")
 
 
-def subtree(index: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+def subtree(index: DataFrame, roots: DataFrame) -> DataFrame:
     """path of all entries below the roots over parent paths, and the roots themselves, known or not.
 
-    Level by level; every level is written, so lineage stays short, and paths met before are not followed again.
+    Level by level; every level is written, so lineage stays short, and paths met before are not followed again, so that
+    it ends at any depth and with rings.
     """
     edges = materialize(index.filter("parent_path IS NOT NULL").select("path", "parent_path"), "edges")
     level = materialize(roots.select("path").filter("path IS NOT NULL").distinct(), "level")
     seen = level
-    for _ in range(max_depth):
+    while True:
         below = edges.join(level.withColumnRenamed("path", "parent_path"), "parent_path", "left_semi").select("path").distinct()
         nxt = materialize(below.join(seen, "path", "left_anti"), "level")
         if nxt.isEmpty():

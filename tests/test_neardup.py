@@ -72,6 +72,16 @@ def test_collapse_of_many_children(tokens):
     assert collapse(tokens(**tree)) == [("/dst/tree", "/src/tree", 30)]
 
 
+def test_collapse_of_trees_deeper_than_64_levels(tokens):
+    t = tokens(**{f"/{r}" + "/d" * i: span(10 * i, 10 * i + 5) for r in ("dst", "src") for i in range(67)})
+    deepest = N.exact_pairs(t).filter("length(folder_a) = 4 + 2 * 66")
+    assert rows(N.collapsed(deepest, t), "folder_a", "folder_b", "shared_files") == [("/dst", "/src", 5)]
+
+
+def test_collapse_ends_at_paths_without_a_slash(tokens):
+    assert collapse(tokens(**{"a": span(0, 9), "b": span(0, 9), "c/x": span(20, 29), "d/x": span(20, 29), "c": span(40, 49), "d": span(40, 49)})) == [("a", "b", 9), ("c", "d", 9)]
+
+
 def test_tokens_skip_noise_empty_files_and_links(make_files):
     files = make_files([("/a/x", "h"), ("/a/.DS_Store", "n"), {"path": "/a/e", "hash": "q", "size": 0}, {"path": "/a/l", "hash": "l", "is_file": False, "is_directory": False, "is_symlink": True}, {"path": "/a/none", "hash": None, "is_directory": False}, ("/a/y", "h"), ("/top", "t")])
     assert rows(N.folder_tokens(files)) == [("/a", "h")]
