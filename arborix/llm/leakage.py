@@ -7,18 +7,21 @@ with all items that hold them, and their spans can be removed.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborix.llm.canonical import DRAWN_FORMATS, UNDRAWN
+from arborix.runtime import materialize
 
 #: Consecutive words that make a leak.
 LEAST_WORDS = 20
@@ -187,6 +190,7 @@ def item_blocks(items: DataFrame, item: str, text: str, block_words: int = BLOCK
 
 
 _FOUND = "doc_id long, item_id long, longest_run int, item_words int, leaked_words int, doc_words int"
+_SPANS = ", digest string, first array<int>, end array<int>"
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -195,12 +199,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     Columns: doc_id, item_id, longest_run, item_words, leaked_words (words of the document inside any such run) and
     doc_words. Rows with null ids or texts, and texts shorter than `least` words, give nothing; repeated rows count once;
     other columns are ignored. Each block of items is one broadcast automaton of bounded size and one pass over the
-    documents; the documents are never shuffled.
+    documents; the documents are never shuffled. With several blocks, the spans of all meet by the digest of the text.
     """
     spark: SparkSession = documents.sparkSession
     docs = documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).filter("d IS NOT NULL AND t IS NOT NULL")
-    out = None
-    for block in item_blocks(items, item, item_text):
+    out, blocks = None, item_blocks(items, item, item_text)
+    ahead = [b for b in (next(blocks, None), next(blocks, None)) if b is not None]
+    several = len(ahead) > 1
+    form = _FOUND + (_SPANS if several else "")
+    for block in chain(ahead, blocks):
         shared = spark.sparkContext.broadcast((build_automaton(block, least), {i: len(w) for i, w in block}))
 
         def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -213,12 +220,23 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
                         continue
                     best, spans = match(a, words)
                     inside = sum(e - s for s, e in spans)
-                    rows += [(d, i, run, sizes[i], inside, len(words)) for i, run in best.items()]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "longest_run", "item_words", "leaked_words", "doc_words"])
+                    held = (hashlib.md5(t.encode()).hexdigest(), [s for s, _ in spans], [e for _, e in spans]) if several and best else ()
+                    rows += [(d, i, run, sizes[i], inside, len(words), *held) for i, run in best.items()]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in form.split(", ")])
 
-        found = docs.mapInPandas(scan, _FOUND)
+        found = docs.mapInPandas(scan, form)
         out = found if out is None else out.unionByName(found)
-    return (out if out is not None else spark.createDataFrame([], _FOUND)).distinct()
+    if out is None:
+        return spark.createDataFrame([], _FOUND)
+    if not several:
+        return out.distinct()
+    # a text hit by several blocks: each word counts once; its spans are at most its words
+    out = materialize(out, "leaks")
+    spans = out.select("digest", F.explode(F.arrays_zip("first", "end")).alias("s")).select("digest", "s.first", "s.end").distinct()
+    before = F.max("end").over(Window.partitionBy("digest").orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest("first", F.coalesce(before, F.lit(0))))
+    merged = spans.select("digest", new.alias("new")).groupBy("digest").agg(F.sum("new").cast("int").alias("leaked_words"))
+    return out.drop("leaked_words", "first", "end").join(merged, "digest").select(*[c.split()[0] for c in _FOUND.split(", ")]).distinct()
 
 
 _CLEAN = "doc_id long, text string, removed_words int, doc_words int, dropped boolean"

@@ -66,6 +66,21 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert rows(leaks(docs, items), "doc_id", "item_id", "longest_run") == want
 
 
+def test_leaked_words_count_over_all_blocks(spark, monkeypatch):
+    import arborix.llm.leakage as module
+
+    w = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:40])), (1, " ".join(w))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(w[:30])), (6, " ".join(w[20:50])), (7, " ".join(w[70:95])), (8, " ".join(w[72:94]))], "item_id long, text string")
+    want = [(1, 5, 75), (1, 6, 75), (1, 7, 75), (1, 8, 75), (2, 5, 40), (2, 6, 40)]
+    assert rows(leaks(docs, items), "doc_id", "item_id", "leaked_words") == want
+    columns = leaks(docs, items).columns
+    whole = rows(leaks(docs, items))
+    monkeypatch.setattr(module.item_blocks, "__defaults__", (10,))
+    assert rows(leaks(docs, items), "doc_id", "item_id", "leaked_words") == want
+    assert rows(leaks(docs, items)) == whole and leaks(docs, items).columns == columns
+
+
 def test_removal(spark):
     docs, items = frames(spark)
     got = {r["doc_id"]: r for r in without_leaks(docs, items).collect()}
