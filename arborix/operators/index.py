@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborix.functions.text import clean_hash, sqlite_like
+from arborix.runtime import materialize
 
 COLUMNS = ["id", "path", "name", "size", "modified", "hash", "is_directory", "is_file", "is_symlink", "parent_path", "traversed", "traverse_error"]
 
@@ -57,3 +58,16 @@ def listing(index: DataFrame, order: str = "default") -> DataFrame:
     """All rows in one of the listing orders: default (kind, then path), cased (name) or folded (name in lower case)."""
     keys = {"default": ["is_directory", "is_file", "is_symlink", "path"], "cased": ["name", "path"], "folded": [F.lower("name"), "name", "path"]}
     return index.orderBy(*keys[order])
+
+
+def positions(listed: DataFrame) -> DataFrame:
+    """A sorted frame with the position of each row, from 1: numbers inside the sorted partitions plus those before them.
+
+    The sorted rows are written once, so that numbers and counts come from the same sort; only one count a partition meets
+    in one task.
+    """
+    row = F.monotonically_increasing_id()
+    table = materialize(listed.withColumn("_part", F.shiftright(row, 33)).withColumn("_at", row.bitwiseAND(F.lit(2**33 - 1))), "listing")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = table.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return table.join(F.broadcast(counts), "_part").withColumn("position", F.col("before") + F.col("_at") + 1).drop("_part", "_at", "before")

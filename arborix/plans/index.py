@@ -93,6 +93,24 @@ def listing_folded(spark, sf):
     return index.listing(idx(spark, sf), "folded").select("path", "name").limit(100)
 
 
+@query(f"WITH {IDX} SELECT path, row_number() OVER (ORDER BY lower(name) NULLS FIRST, name NULLS FIRST, path) AS position FROM idx")
+def listing_folded_all(spark, sf):
+    """The whole listing by name in lower case: every entry with its position."""
+    return index.positions(index.listing(idx(spark, sf), "folded").select("path"))
+
+
+@query(f"WITH {IDX} SELECT path, row_number() OVER (ORDER BY name NULLS FIRST, path) AS position FROM idx")
+def listing_cased_all(spark, sf):
+    """The whole listing by name: every entry with its position."""
+    return index.positions(index.listing(idx(spark, sf), "cased").select("path"))
+
+
+@query(f"WITH {IDX} SELECT path, row_number() OVER (ORDER BY is_directory NULLS FIRST, is_file NULLS FIRST, is_symlink NULLS FIRST, path) AS position FROM idx")
+def listing_default_all(spark, sf):
+    """The whole listing by kind, then path: every entry with its position."""
+    return index.positions(index.listing(idx(spark, sf), "default").select("path"))
+
+
 @query(f"""WITH {IDX} SELECT path, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS extension, length(path) - length(replace(path, '/', '')) AS depth,
   regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS safe, regexp_replace(path, '/[^/]*$', '') AS parent, regexp_extract(path, '[^/]*$') AS base,
   replace(printf('%.2f', coalesce(size, 0) / 4.0::DOUBLE), '.', ',') AS quarter FROM idx""")

@@ -102,3 +102,16 @@ def test_common_root(spark):
 def test_common_root_of_siblings_that_sort_before_a_slash(spark):
     df = spark.createDataFrame([("g", "/x/photos"), ("g", "/x/photos-2"), ("g", "/x/photos/a"), ("h", "/y/a/b"), ("h", "/y/a (copy)"), ("h", "/y/a"), ("i", None)], "g string, p string")
     assert rows(tree.common_root(df, "g", "p")) == [("g", "/x"), ("h", "/y"), ("i", None)]
+
+
+@pytest.mark.parametrize(("order", "key"), [("folded", lambda r: (r["name"].lower(), r["name"], r["path"])), ("cased", lambda r: (r["name"], r["path"])), ("default", lambda r: (r["is_directory"], r["is_file"], r["is_symlink"], r["path"]))])
+def test_positions_number_the_whole_listing(sample, order, key):
+    want = [(i, r["path"]) for i, r in enumerate(sorted(sample.collect(), key=key), 1)]
+    assert rows(I.positions(I.listing(sample.repartition(7), order).select("path")), "position", "path") == sorted(want, key=repr)
+    assert I.positions(I.listing(sample.limit(0), order)).count() == 0
+
+
+def test_whole_listings_are_queries():
+    import __spark_entry__
+
+    assert {f"listing_{order}_all" for order in ("folded", "cased", "default")} <= __spark_entry__.oracle_sql().keys()
