@@ -76,3 +76,21 @@ def merged_state(stored: DataFrame, listed: DataFrame, key: str, keep: list[str]
         new = F.col(f"n.{c}") if c in listed.columns else F.lit(None)
         out.append((F.when(F.col("s").isNotNull(), old).otherwise(defaults.get(c, F.lit(None))) if c in keep else F.when(F.col("n").isNotNull(), new).otherwise(old)).alias(c))
     return both.select(key, *out)
+
+
+def inspected(entities: DataFrame, key: str = "id", only: int | None = None, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Entities by key, with a given key, a given status, and as many as asked for; what is missing, 0 or "" does not filter."""
+    out = entities.filter(F.col(key) == only) if only else entities
+    out = (out.filter(F.col("status") == status) if status else out).orderBy(key)
+    return out.limit(limit) if limit and limit > 0 else out
+
+
+def history(snapshots: DataFrame, key: str, value: int, order: str = "id") -> DataFrame:
+    """All snapshots of one key, newest first."""
+    return snapshots.filter(F.col(key) == value).orderBy(F.desc(order))
+
+
+def list_delta(stored: DataFrame, listed: DataFrame, order: list[str]) -> DataFrame:
+    """What a growing list holds beyond the number of rows stored, in its order: nothing if it did not grow."""
+    known = stored.count()
+    return listed.orderBy(*order).offset(known) if listed.count() > known else listed.limit(0)

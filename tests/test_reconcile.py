@@ -108,3 +108,15 @@ def test_age(spark):
 
     df = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 8, 12))], "a timestamp, b timestamp")
     assert df.select(age_days(F.col("a"), F.col("b"))).first()[0] == 7.5
+
+
+def test_inspecting_histories_and_list_gaps(spark):
+    df = spark.createDataFrame([(3, "ok"), (1, "ok"), (2, "failed"), (4, None)], "id int, status string")
+    ids = lambda d: [r["id"] for r in d.collect()]
+    assert ids(snapshots.inspected(df)) == [1, 2, 3, 4] == ids(snapshots.inspected(df, only=0, status="", limit=0))
+    assert ids(snapshots.inspected(df, status="ok")) == [1, 3] and ids(snapshots.inspected(df, status="ok", limit=1)) == [1]
+    assert ids(snapshots.inspected(df, only=2)) == [2] and ids(snapshots.inspected(df, only=2, status="ok")) == []
+    shots = spark.createDataFrame([(1, 7), (3, 7), (2, 8), (5, 7)], "id int, account int")
+    assert ids(snapshots.history(shots, "account", 7)) == [5, 3, 1] and ids(snapshots.history(shots, "account", 9)) == []
+    assert ids(snapshots.list_delta(df.filter("id <= 2"), df, ["id"])) == [3, 4]
+    assert ids(snapshots.list_delta(df.limit(0), df, ["id"])) == [1, 2, 3, 4] and ids(snapshots.list_delta(df, df.limit(3), ["id"])) == []
