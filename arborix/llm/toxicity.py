@@ -1,51 +1,53 @@
 """Abusive, hateful or sexual content (problem 8): a score for every document and rates per source.
 
 A linear classifier over hashed word features of passages is trained in numpy by non-negative positive-unlabelled
-learning: confirmed abusive passages are the positives, passages of a sample of all documents are unlabelled, and the
-risk estimator is corrected by the class prior and kept from going below zero. Passages of documents reviewed as clean
-count as a further, negative sample. A review says only that a document holds such a passage somewhere, so in each round
-the passage that the last model finds worst stands for its document. A document's score is that of its worst passage.
+learning: passages of documents reviewed as abusive are the positives, the passages of all documents are unlabelled, and
+the risk estimator is corrected by the class prior, which is estimated, and kept from going below zero. Passages of
+documents reviewed as clean are a further, negative sample. A review says only that a document holds such a passage
+somewhere, so the passages that the last model finds worst stand for their document. A document's score is that of its
+worst passage.
+
+The text is read once for the features of the reviewed documents and once for all documents: only features that are
+clearly more frequent in abusive documents have a weight, so a passage comes down to its pattern of such features, most
+to none. Counted patterns stand for all passages of all documents in the risk, and scores come from the written patterns.
+Models of FOLDS parts of the reviews, each fitted without one part, are averaged; each has its limit set on its own part.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm.canonical import Canonicalizer, tables
-from arborix.llm.toxic_seeds import SEEDS
-
-#: Reviewed documents of each kind, and unreviewed documents, that are fitted on: those with the smallest hashes of ids.
-MOST_REVIEWED = 3000
-UNLABELLED_DOCUMENTS = 3000
-#: Longer documents are not fitted on, so that the samples fit the driver; they are scored like all others.
-MOST_CHARACTERS = 50_000
-#: Passages of each sample that are fitted on, after equal ones are made one.
-MOST_PASSAGES = 15_000
-#: Share of abusive ones among different passages.
-PRIOR = 0.02
+from arborix.runtime import materialize
+
+#: Reviewed documents of each kind that are fitted on: those with the smallest hashes of ids.
+MOST_REVIEWED = 20_000
+#: Parts of the reviewed documents; a model is fitted without each.
+FOLDS = 4
 FEATURES = 1 << 20
 PASSAGE_WORDS = 24
-#: Steps of the first fit, and of those that go on from it.
-STEPS, MORE_STEPS = 100, 50
+#: A feature has a weight if it is in so many documents reviewed as abusive and so many times as frequent there.
+LEAST_POSITIVE, LEAST_LIFT = 2, 2.5
+#: Steps and rate of the fit, and how strongly weights are held at the logarithm of the lift, over LIFT_SCALE.
+STEPS, RATE, ANCHOR, LIFT_SCALE = 120, 0.02, 0.03, 4.0
 ROUNDS = 2
-RATE = 0.05
-L2 = 2e-6
-CLEAN_WEIGHT = 1.0
-#: A missed abusive passage costs as much as so many false alarms; the threshold evens out what this shifts.
-POSITIVE_COST = 5.0
-#: A passage is an ordinary one if its share of clean or unreviewed documents is above this part of its share of abusive ones.
-COMMON = 0.3
-SEED_WEIGHT = 0.3
+#: Share of the risk that the passages reviewed as clean make up.
+CLEAN_SHARE = 0.3
+#: The class prior is the least ratio of unlabelled to positive documents above any limit that this share of the positive reaches.
+LEAST_REACH = 0.3
+#: Different patterns that the driver holds; the gradients of more are summed in the executors, step by step.
+LOCAL_PATTERNS = 1_000_000
+_BINS, _SPAN = 6000, 30.0
 
 _SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?…])\s+")
 _CHUNK = re.compile(r"[^\s/\\_|,;:()\[\]{}<>\"“”„«»=+`~#]+")
@@ -85,7 +87,7 @@ def _plain(chunk: str) -> tuple[str, ...]:
     letters = sum(map(str.isalpha, chunk))
     if not letters or (len(chunk) >= 8 and _HEX.fullmatch(chunk)):
         return ("#",)
-    if letters * 2 >= len(chunk) and len(chunk) <= 20 and re.fullmatch(r"[^\W_](?:[\w@$!|]*[\w@$|])?", chunk) and re.search(r"[\d@$!|]", chunk):
+    if letters * 2 >= len(chunk) and re.fullmatch(r"[^\W_](?:[\w@$!|]*[\w@$|])?", chunk) and re.search(r"[\d@$!|]", chunk):
         return (chunk.translate(_LEET),)
     return tuple(p if p.isalpha() else "#" for p in re.findall(r"[^\W\d_]+|\d+", chunk))
 
@@ -108,206 +110,346 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (FEATURES - 1)
 
 
-@lru_cache(maxsize=100_000)
-def word_slots(word: str) -> tuple[int, ...]:
-    """Slots of one word: itself, without doubled letters, with inner letters in any order, and its parts of four letters."""
-    if word == "#":
-        return (_slot("w #"),)
+@lru_cache(maxsize=200_000)
+def _word(word: str) -> tuple[int, tuple[int, ...]]:
+    """Hash of a word without doubled letters, and its slots: itself, with inner letters in any order, its parts of four letters."""
     plain = _RUN.sub(r"\1", word)
-    out = {_slot("w " + word), _slot("q " + plain)}
+    out = {_slot("w " + plain)} if word != "#" else set()
     if len(word) > 3:
-        out.add(_slot("s " + word[0] + "".join(sorted(word[1:-1])) + word[-1]))
         edged = f"^{plain}$"
-        out |= {_slot("c " + edged[i : i + 4]) for i in range(len(edged) - 3)}
+        out |= {_slot("s " + plain[0] + "".join(sorted(plain[1:-1])) + plain[-1]), *(_slot("c " + edged[i : i + 4]) for i in range(len(edged) - 3))}
     if "*" in word and len(word) > 1:
         out.add(_slot("masked"))
-    return tuple(sorted(out))
+    return zlib.crc32(plain.encode()), tuple(out)
+
+
+def _pair_slots(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+    x = (a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) % np.uint64(FEATURES)).astype(np.int64)
+
+
+def slots_of(passages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Passage numbers and slots of all features, not in order and repeated: words, neighbours, words with one between."""
+    size = np.array([len(p) for p in passages], np.int64)
+    number: dict[str, int] = {}
+    word = np.array([number.setdefault(w, len(number)) for p in passages for w in p], np.int64)
+    known = [_word(w) for w in number]
+    code = np.array([h for h, _ in known], np.uint64)[word] if known else np.zeros(0, np.uint64)
+    many = np.array([len(x) for _, x in known], np.int64)
+    flat = np.fromiter((x for _, own in known for x in own), np.int64, int(many.sum()))
+    row = np.repeat(np.arange(len(passages)), size)
+    each = many[word] if len(word) else np.zeros(0, np.int64)
+    first = np.cumsum(many) - many
+    at = np.repeat((first[word] if len(word) else each) - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+    end = np.cumsum(size)
+    some = np.flatnonzero(size)
+    edge = np.full(len(some), 7, np.uint64)
+    next_, skip = row[1:] == row[:-1], row[2:] == row[:-2]
+    rows = [np.repeat(row, each), row[1:][next_], row[2:][skip], some, some]
+    slots = [flat[at], _pair_slots(code[:-1], code[1:], 1)[next_], _pair_slots(code[:-2], code[2:], 2)[skip], _pair_slots(edge, code[(end - size)[some]], 3), _pair_slots(code[end[some] - 1], edge, 3)]
+    return np.concatenate(rows), np.concatenate(slots)
+
+
+class Texts:
+    """Passages and slots of a batch of texts, each passage of a text once."""
+
+    def __init__(self) -> None:
+        self.make = Canonicalizer(tables())
 
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text of each passage; passage numbers and slots."""
+        own: list[int] = []
+        passages: list[list[str]] = []
+        for i, text in enumerate(_canonical(self.make, texts)):
+            different = {" ".join(p): p for p in passages_of(text)}
+            own += [i] * len(different)
+            passages += different.values()
+        return np.array(own, np.int64), *slots_of(passages)
 
-def pairs_of(words: list[str]) -> list[tuple[str, str, str]]:
-    """Neighbours and words with one between them, each with its kind."""
-    near = [("b", a, b) for a, b in zip(["^", *words], [*words, "$"], strict=True)]
-    return near + [("k", a, b) for a, b in zip(words, words[2:], strict=False)]
+
+def _canonical(make: Canonicalizer, texts: list[str | None]) -> list[str]:
+    out = [t or "" for t in texts]
+    at = [i for i, t in enumerate(out) if not t.isascii()]
+    for i, t in zip(at, make([out[i] for i in at]), strict=True):
+        out[i] = t
+    return out
 
 
-@lru_cache(maxsize=300_000)
-def pair_slot(pair: tuple[str, str, str]) -> int:
-    return _slot(" ".join(pair))
+def _slices(frames: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    return (f.slice(i, rows) for f in frames for i in range(0, f.num_rows, rows))
 
 
-class Design(NamedTuple):
-    """Passages as rows of slots."""
+class Vocabulary(NamedTuple):
+    """Slots that have a weight, and the reviewed documents of each part, and of the clean, with each of them."""
 
     slots: np.ndarray
+    positive: np.ndarray
+    clean: np.ndarray
+    positives: np.ndarray
+    cleans: int
+
+    def start(self, without: int) -> np.ndarray:
+        """First weights of the model without a part: the logarithm of how many times as frequent a feature is."""
+        keep = np.arange(FOLDS) != without
+        expected = self.positives[keep].sum() * (self.clean + 0.5) / (self.cleans + 1)
+        return np.log((self.positive[:, keep].sum(1) + 1) / (expected + 1)) / LIFT_SCALE
+
+
+def vocabulary(documents: DataFrame, picked: DataFrame) -> Vocabulary:
+    """Features of reviewed documents, counted where the documents are: documents of doc_id, t; picked of doc_id, kind."""
+    reviewed = documents.join(F.broadcast(picked), "doc_id").select("t", "kind")
+
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, seen, n = Texts(), np.zeros((FOLDS + 1, FEATURES), np.int32), np.zeros(FOLDS + 1, np.int64)
+        for f in _slices(frames):
+            kind = f.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            own, rows, slots = read(f.column(0).to_pylist())
+            pair = np.unique(own[rows] * FEATURES + slots)
+            np.add.at(seen, (kind[pair // FEATURES], pair % FEATURES), 1)
+            n += np.bincount(kind, minlength=FOLDS + 1)
+        slots = np.flatnonzero(seen.any(0))
+        columns = [np.r_[slots, -1], *(np.r_[seen[k, slots], n[k]] for k in range(FOLDS + 1))]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["slot", *kinds])
+
+    kinds = [f"k{k}" for k in range(FOLDS + 1)]
+    counted = reviewed.mapInArrow(count, "slot long, " + ", ".join(f"{k} long" for k in kinds)).groupBy("slot").agg(*[F.sum(k).alias(k) for k in kinds])
+    total = counted.filter("slot = -1").collect()
+    n = np.array([total[0][k] for k in kinds] if total else [0] * (FOLDS + 1))
+    positive = sum(F.col(k) for k in kinds[:FOLDS])
+    expected = float(n[:FOLDS].sum()) / (float(n[FOLDS]) + 1) * (F.col(kinds[FOLDS]) + 0.5)
+    # at most FEATURES rows
+    kept = counted.filter((F.col("slot") >= 0) & (positive >= LEAST_POSITIVE) & (positive + 1 >= LEAST_LIFT * (expected + 1))).orderBy("slot").collect()
+    table = np.array([list(r) for r in kept], np.int64).reshape(-1, FOLDS + 2)
+    return Vocabulary(table[:, 0], table[:, 1 : FOLDS + 1], table[:, FOLDS + 1], n[:FOLDS], int(n[FOLDS]))
+
+
+def passage_patterns(documents: DataFrame, slots: np.ndarray) -> DataFrame:
+    """Each document's different patterns: doc_id, source, passages (their number), patterns (places of weighted features)."""
+    shared = documents.sparkSession.sparkContext.broadcast(slots)
+
+    def reduce(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, n = Texts(), max(1, len(shared.value))
+        place = np.full(FEATURES, -1, np.int64)
+        place[shared.value] = np.arange(len(shared.value))
+        for f in _slices(frames):
+            own, rows, slots = read(f.column(2).to_pylist())
+            at = place[slots]
+            pair = np.unique(rows[at >= 0] * n + at[at >= 0])
+            rows, at = pair // n, pair % n
+            ends = np.flatnonzero(np.diff(rows, append=-1)) + 1
+            holder, starts = own[rows[ends - 1]] if len(ends) else np.zeros(0, np.int64), np.r_[0, ends[:-1]] if len(ends) else ends
+            seen: list[dict[bytes, list[int]]] = [{} for _ in range(f.num_rows)]
+            for d, a, b in zip(holder, starts, ends, strict=True):
+                seen[d].setdefault(at[a:b].tobytes(), at[a:b].tolist())
+            lists = pa.array([list(x.values()) for x in seen], pa.list_(pa.list_(pa.int32())))
+            passages = pa.array(np.bincount(own, minlength=f.num_rows).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), passages, lists], names=["doc_id", "source", "passages", "patterns"])
+
+    return materialize(documents.select("doc_id", "source", "t").mapInArrow(reduce, "doc_id long, source string, passages int, patterns array<array<int>>"), "patterns")
+
+
+class Patterns(NamedTuple):
+    """Patterns as rows of places of weights."""
+
     rows: np.ndarray
+    places: np.ndarray
     n: int
 
     def scores(self, w: np.ndarray, bias: float) -> np.ndarray:
-        return np.bincount(self.rows, w[self.slots], self.n) + bias
+        return np.bincount(self.rows, w[self.places], self.n) + bias
 
     def back(self, g: np.ndarray, features: int) -> np.ndarray:
-        return np.bincount(self.slots, g[self.rows], features)
+        return np.bincount(self.places, g[self.rows], features)
 
 
-def design(passages: list[list[str]]) -> Design:
-    each = [[*(x for w in set(p) for x in word_slots(w)), *map(pair_slot, pairs_of(p))] for p in passages]
-    return Design(np.concatenate([np.array(x, np.int32) for x in each]) if each else np.zeros(0, np.int32), np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), len(each))
+def patterns_of(lists: pa.Array) -> Patterns:
+    """From an Arrow array of lists of places."""
+    size = np.diff(np.asarray(lists.offsets))
+    return Patterns(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(size))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: Design, weight: np.ndarray, unlabelled: Design, often: np.ndarray, clean: Design, cleared: np.ndarray, start: tuple[np.ndarray, float] | None = None, steps: int = STEPS, prior: float = PRIOR) -> tuple[np.ndarray, float]:
-    """Non-negative PU risk with the logistic loss, minimised by Adam over all rows.
+def _partial(x: Patterns, weight: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    """Sum of weight * sigmoid(score), its gradient by bias, and by the weights."""
+    q = _sigmoid(x.scores(w, bias))
+    d = weight * q * (1 - q)
+    return np.r_[weight @ q, d.sum(), x.back(d, len(w))]
+
+
+class Sample(NamedTuple):
+    """Counted patterns of passages; passages without a weighted feature are only in total. More than LOCAL_PATTERNS stay a table."""
 
-    The risk is POSITIVE_COST * prior * R+(P) + max(0, R-(U) - prior * R-(P)), and CLEAN_WEIGHT * R-(N) where there are reviewed clean
-    passages. Where the middle term would fall below 0 it has no gradient: the model learns no more from the unlabelled.
+    x: Patterns | None
+    weight: np.ndarray
+    total: float
+    table: DataFrame | None = None
+
+    def risk(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+        """The mean of sigmoid(score), that is the risk of calling all negative, and its gradient by (bias, weights)."""
+        if self.x is not None:
+            sums, held = _partial(self.x, self.weight, w, bias), self.weight.sum()
+        else:
+            sums, held = self._distributed(w, bias)
+        rest = max(0.0, self.total - held)
+        q = float(_sigmoid(np.array(bias)))
+        sums[:2] += rest * q, rest * q * (1 - q)
+        return sums[0] / max(1.0, self.total), sums[1:] / max(1.0, self.total)
+
+    def _distributed(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        shared = self.table.sparkSession.sparkContext.broadcast((w, bias))
+
+        def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, bias = shared.value
+            out = np.zeros(len(w) + 3)
+            for f in frames:
+                weight = f.column(1).to_numpy().astype(float)
+                out += np.r_[_partial(patterns_of(f.column(0)), weight, w, bias), weight.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "x"])
+
+        added = self.table.select("pattern", "n").mapInArrow(sums, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(len(w) + 3)
+        for r in added:
+            out[r["i"]] = r["x"]
+        shared.unpersist()
+        return out[:-1], out[-1]
+
+
+def fit(positive: Sample, unlabelled: Sample, clean: Sample, start: tuple[np.ndarray, float], prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Non-negative PU risk with the sigmoid loss, minimised by Adam over all rows from given weights.
+
+    The risk is prior * R+(P) + max(0, R-(U) - prior * R-(P)); where the second term falls below 0, the step climbs
+    against it instead. A share CLEAN_SHARE of the risk is prior * R+(P) + (1 - prior) * R-(N) over passages reviewed as
+    clean. Weights are held at their start by ANCHOR, in units of the prior.
     """
-    # only slots that occur have weights
-    used, place = np.unique(np.concatenate([d.slots for d in (positive, unlabelled, clean)]), return_inverse=True)
-    cuts = np.cumsum([len(positive.slots), len(unlabelled.slots)])
-    positive, unlabelled, clean = (d._replace(slots=x) for d, x in zip((positive, unlabelled, clean), np.split(place, cuts), strict=True))
-    n = len(used)
-    w, bias = (start[0][used], start[1]) if start else (np.zeros(n), -2.0)
-    m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
-    share, usual = weight / weight.sum(), often / often.sum()
+    first, (w, bias) = start[0], start
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        sp, su = _sigmoid(positive.scores(w, bias)), _sigmoid(unlabelled.scores(w, bias))
-        rest = -float(usual @ np.log1p(-np.minimum(su, 1 - 1e-9))) + prior * float(share @ np.log1p(-np.minimum(sp, 1 - 1e-9)))
-        gp, gu = POSITIVE_COST * share * prior * (sp - 1), su * usual
-        if rest > 0:
-            gp = gp - share * prior * sp
-        else:
-            gu = np.zeros_like(gu)
-        grad, gb = positive.back(gp, n) + unlabelled.back(gu, n), gp.sum() + gu.sum()
-        if clean.n:
-            gn = _sigmoid(clean.scores(w, bias)) * CLEAN_WEIGHT * cleared / cleared.sum()
-            grad, gb = grad + clean.back(gn, n), gb + gn.sum()
-        grad += L2 * w
+        (rp, gp), (ru, gu) = positive.risk(w, bias), unlabelled.risk(w, bias)
+        # R+ = 1 - R- with the sigmoid loss
+        grad = gu - 2 * prior * gp if ru - prior * rp >= 0 else prior * gp - gu
+        if clean.total:
+            gn = clean.risk(w, bias)[1]
+            grad = (1 - CLEAN_SHARE) * grad + CLEAN_SHARE * ((1 - prior) * gn - prior * gp)
+        grad = grad / prior + np.r_[0.0, ANCHOR * (w - first)]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        a, b = 1 - 0.9**step, 1 - 0.999**step
-        w -= RATE * (m / a) / (np.sqrt(v / b) + 1e-8)
-        bias -= RATE * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    out = np.zeros(FEATURES)
-    out[used] = w
-    return out, float(bias)
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
+        bias, w = bias - move[0], w - move[1:]
+    return w, float(bias)
 
 
 class Model(NamedTuple):
+    """One row of weights per part, already less the limit and over the spread: above 0 is abusive, 1 the usual height."""
+
     weights: np.ndarray
-    bias: float
-    threshold: float
-    #: Score above the threshold that counts as a probability of about 0.98.
-    spread: float
+    biases: np.ndarray
 
+    def margins(self, x: Patterns) -> np.ndarray:
+        return sum((x.scores(w, b) for w, b in zip(self.weights, self.biases, strict=True)), np.zeros(x.n)) / max(1, len(self.weights))
 
-def _canonical(make: Canonicalizer, texts: list[str | None]) -> list[str]:
-    out = [t or "" for t in texts]
-    at = [i for i, t in enumerate(out) if not t.isascii()]
-    for i, t in zip(at, make([out[i] for i in at]), strict=True):
-        out[i] = t
+
+def _worst(scores: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, -np.inf)
+    np.maximum.at(out, owner, scores)
     return out
 
 
-def _different(documents: list[list[list[str]]], most: int) -> tuple[list[list[str]], dict[str, int]]:
-    """At most so many different passages of some documents, and the number of documents with each passage."""
-    seen = {" ".join(p): p for d in documents for p in d}
-    often = Counter(k for d in documents for k in {" ".join(p) for p in d})
-    return [seen[k] for k in sorted(seen, key=lambda k: zlib.crc32(k.encode()))[:most]], often
-
-
-def train(positive: list[str], clean: list[str], unlabelled: list[str], seeds: list[str] = SEEDS) -> Model:
-    """Fit a model from texts: documents with an abusive passage, documents without, and documents not reviewed."""
-    make = Canonicalizer(tables())
-    pos, neg, unl = ([passages_of(t) for t in _canonical(make, x)] for x in (positive, clean, unlabelled))
-    known = [p for s in _canonical(make, seeds) for p in passages_of(s)]
-    pos = [d for d in pos if d]
-    unl_p, often = _different(unl, MOST_PASSAGES)
-    clear = _different(neg, 0)[1]
-    unl_p = unl_p or [["#"]]
-    u = design(unl_p)
-    def counted(documents: list[list[list[str]]]) -> tuple[Design, np.ndarray]:
-        passages, count = _different(documents, MOST_PASSAGES)
-        return design(passages), np.array([float(count[" ".join(p)]) for p in passages])
-
-    half, whole = [counted(neg[fold::2]) for fold in (0, 1)], counted(neg)
-    times = np.sqrt([often.get(" ".join(p), 1) for p in unl_p])
-    # a passage that is about as frequent in other documents is not what a document was found abusive for
-    here = Counter(k for d in pos for k in {" ".join(p) for p in d})
-    common = {k for k, c in here.items() if max(clear[k] / max(1, len(neg)), often[k] / max(1, len(unl))) > COMMON * c / len(pos)}
-    pos = [d for d in ([p for p in d if " ".join(p) not in common] for d in pos) if d]
-    bags = [design(d) for d in pos]
-
-    first = fit(design(known), np.ones(len(known)), u, times, design([]), np.zeros(0))
-
-    def further(passages: list[list[str]], clean: tuple[Design, np.ndarray], steps: int = MORE_STEPS) -> tuple[np.ndarray, float]:
-        weight = np.r_[np.full(len(known), SEED_WEIGHT), np.ones(len(passages))]
-        return fit(design(known + passages), weight, u, times, *clean, first, steps)
-
-    def worst_of(fold: int, w: np.ndarray, bias: float) -> list[list[str]]:
-        usual, out = np.quantile(u.scores(w, bias), 0.98), []
-        for d, b in zip(pos[fold::2], bags[fold::2], strict=True):
-            s = b.scores(w, bias)
-            # a document whose worst passage is an ordinary one was reviewed wrongly
-            out += [d[i] for i in np.flatnonzero((s >= s.max() - 1.0) & (s > usual))]
-        return out
-
-    # the passages of one half are chosen by the model of the other, so that no passage confirms itself
-    chosen = [worst_of(fold, *first) for fold in (0, 1)]
-    models = [first, first]
-    for _ in range(ROUNDS if len(pos) > 1 else 0):
-        models = [further(c, clean) for c, clean in zip(chosen, half, strict=True)]
-        chosen = [worst_of(fold, *models[1 - fold]) for fold in (0, 1)]
-    w, bias = further(chosen[0] + chosen[1], whole, STEPS)
-    worst = [b.scores(*models[1 - i % 2]).max() for i, b in enumerate(bags)]
-    least = [design(d).scores(*models[1 - i % 2]).max() for i, d in enumerate(neg) if d]
-    limit = _threshold(np.array(worst), np.array(least))
-    high = np.r_[design(known).scores(w, bias), worst] - limit
-    return Model(w.astype(np.float32), bias, limit, max(1.0, float(np.median(high[high > 0])) if (high > 0).any() else 1.0))
-
-
-def _threshold(positive: np.ndarray, clean: np.ndarray) -> float:
-    """The score, near 0, that best separates reviewed documents by F1; 0 where there are too few to tell."""
-    if len(positive) < 20 or len(clean) < 20:
-        return 0.0
-    at = np.linspace(-1, 5, 61)
-    hit, wrong = (positive[:, None] >= at).sum(0), (clean[:, None] >= at).sum(0)
-    f1 = 2 * hit / np.maximum(1, hit + wrong + len(positive))
-    good = at[f1 >= f1.max() - 0.002]
-    return float(good[np.argmin(abs(good - np.median(good)))])
-
-
-class _Weights(dict):
-    """Weights of words or pairs, worked out when they are first met and kept up to a number."""
-
-    def __init__(self, weight: Callable[..., float], most: int = 300_000) -> None:
-        super().__init__()
-        self.weight, self.most = weight, most
-
-    def __missing__(self, key: str | tuple) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.weight(key)
-        return value
-
-
-class Scorer:
-    def __init__(self, model: Model) -> None:
-        w = model.weights
-        self.bias = model.bias
-        self.make = Canonicalizer(tables())
-        self.words = _Weights(lambda word: float(w[list(word_slots(word))].sum()))
-        self.pairs = _Weights(lambda pair: float(w[pair_slot(pair)]))
-        self.passages = _Weights(self._passage)
+def _heights(table: DataFrame, models: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """Documents above each bin of the worst passage's score, for each model, over all documents."""
+    shared = table.sparkSession.sparkContext.broadcast(models)
+
+    def bins(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(shared.value), _BINS), np.int64)
+        for f in frames:
+            lists = f.column(0)
+            owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+            x = patterns_of(lists.flatten())
+            for k, (w, bias) in enumerate(shared.value):
+                out[k] += np.bincount(_bin(_worst(x.scores(w, bias), owner, len(lists))), minlength=_BINS)
+        model, at = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(model), pa.array(at), pa.array(out[model, at])], names=["model", "bin", "n"])
+
+    out = np.zeros((len(models), _BINS))
+    # at most len(models) * _BINS rows
+    for r in table.select("patterns").mapInArrow(bins, "model long, bin long, n long").groupBy("model", "bin").agg(F.sum("n").alias("n")).collect():
+        out[r["model"], r["bin"]] = r["n"]
+    return out[:, ::-1].cumsum(1)[:, ::-1]
+
 
-    def _passage(self, passage: tuple[str, ...]) -> float:
-        return sum(map(self.words.__getitem__, set(passage))) + sum(map(self.pairs.__getitem__, pairs_of(list(passage)))) + self.bias
+def _bin(scores: np.ndarray) -> np.ndarray:
+    return ((np.clip(scores, -_SPAN, _SPAN - 1e-6) + _SPAN) * (_BINS / (2 * _SPAN))).astype(np.int64)
 
-    def __call__(self, texts: list[str | None]) -> list[float]:
-        """The worst passage's score of each text; minus infinity where there are no words."""
-        return [max((self.passages[tuple(p)] for p in passages_of(text)), default=-np.inf) for text in _canonical(self.make, texts)]
+
+def _limit(held: np.ndarray, above: np.ndarray) -> tuple[float, float]:
+    """Class prior of documents and the score with the best estimated F1, from positive documents not fitted on and all documents.
+
+    Of all documents the share above[t] / above[0] reaches t, of the positive the share q(t); at the highest scores
+    nearly all are abusive, so the prior is the least ratio of the two.
+    """
+    q = np.bincount(_bin(held), minlength=_BINS)[::-1].cumsum()[::-1] / len(held)
+    share = above / max(1.0, above[0])
+    enough = q >= LEAST_REACH
+    prior = float(np.clip((share[enough] / q[enough]).min(), 1e-6, 0.5))
+    f1 = 2 * prior * q / (prior + share)
+    # the middle of the limits that are as good
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    at = best[len(best) // 2]
+    return prior, at * (2 * _SPAN / _BINS) - _SPAN
+
+
+def train(table: DataFrame, picked: DataFrame, words: Vocabulary) -> Model:
+    """Fit the models on written patterns of all documents; picked of doc_id, kind (a part, or FOLDS for clean).
+
+    Without reviews of both kinds, or with too few to give any feature a weight, the model is empty.
+    """
+    if not len(words.slots) or not words.cleans or np.count_nonzero(words.positives) < 2:
+        return Model(np.zeros((0, len(words.slots))), np.zeros(0))
+    # bounded by MOST_REVIEWED
+    bags = table.join(F.broadcast(picked), "doc_id").select("kind", "passages", "patterns").toArrow().combine_chunks()
+    kind = bags["kind"].to_numpy()
+    lists = bags["patterns"].combine_chunks() if bags.num_rows else pa.array([], pa.list_(pa.list_(pa.int32())))
+    owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    inner = lists.flatten()
+    known = patterns_of(inner)
+    passages = float(table.agg(F.sum("passages")).first()[0] or 0)
+    counted = materialize(table.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "pattern-counts")
+    if counted.count() <= LOCAL_PATTERNS:
+        local = counted.select("pattern", "n").toArrow().combine_chunks()
+        unlabelled = Sample(patterns_of(local["pattern"].combine_chunks()), local["n"].to_numpy().astype(float), passages)
+    else:
+        unlabelled = Sample(None, np.zeros(0), passages, counted)
+
+    def sample(rows: np.ndarray, total: float) -> Sample:
+        chosen = inner.take(pa.array(np.flatnonzero(rows)))
+        return Sample(patterns_of(chosen), np.ones(len(chosen)), total)
+
+    clean = sample(kind[owner] == FOLDS, float(bags["passages"].to_numpy()[kind == FOLDS].sum()))
+    parts = [k for k in range(FOLDS) if words.positives[k]]
+    models = [(words.start(k), 0.0) for k in parts]
+
+    def held(k: int, model: tuple[np.ndarray, float]) -> np.ndarray:
+        return _worst(known.scores(*model), owner, len(lists))[kind == k]
+
+    limits = [_limit(held(k, m), a) for k, m, a in zip(parts, models, _heights(table, models), strict=True)]
+    documents = float(table.count())
+    fitted = []
+    for k, (w, _), (prior, limit) in zip(parts, models, limits, strict=True):
+        start = model = (w, -limit)
+        here = (kind[owner] < FOLDS) & (kind[owner] != k)
+        for _ in range(ROUNDS):
+            s = known.scores(*model)
+            chosen = here & (s >= _worst(s, owner, len(lists))[owner] - 1)
+            model = fit(sample(chosen, float(chosen.sum())), unlabelled, clean, start, max(1e-9, prior * documents / max(1.0, passages)))
+        fitted.append(model)
+    out = []
+    for k, (w, b), above in zip(parts, fitted, _heights(table, fitted), strict=True):
+        own = held(k, (w, b))
+        limit = _limit(own, above)[1]
+        spread = float(np.median(own[own > limit]) - limit) if (own > limit).any() else 1.0
+        out.append((w / max(spread, 1e-6), (b - limit) / max(spread, 1e-6)))
+    return Model(np.array([w for w, _ in out]), np.array([b for _, b in out]))
 
 
 def reviews(labels: DataFrame) -> DataFrame:
@@ -316,40 +458,38 @@ def reviews(labels: DataFrame) -> DataFrame:
     return votes.groupBy("doc_id").agg(F.sum("v").alias("v")).filter("v <> 0").select("doc_id", (F.col("v") > 0).alias("abusive"))
 
 
-def train_on(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> Model:
-    """Fit a model on bounded samples: at most MOST_REVIEWED reviewed documents of each kind and UNLABELLED_DOCUMENTS others."""
-    docs = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("t")).filter(f"doc_id IS NOT NULL AND length(t) <= {MOST_CHARACTERS}")
-    verdicts = reviews(labels)
-    order = F.xxhash64("doc_id")
-
-    def texts(kind: bool) -> list[str]:
-        ids = verdicts.filter(F.col("abusive") == F.lit(kind)).orderBy(order, "doc_id").limit(MOST_REVIEWED).select("doc_id")
-        return [r["t"] for r in docs.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "t").collect()]
-
-    unlabelled = docs.orderBy(order, "doc_id", "t").limit(UNLABELLED_DOCUMENTS)
-    return train(texts(True), texts(False), [r["t"] for r in unlabelled.collect()])
+def picked_reviews(labels: DataFrame, most: int = MOST_REVIEWED) -> DataFrame:
+    """At most so many verdicts of each kind: doc_id, kind (the part of an abusive one, FOLDS for a clean one)."""
+    verdicts = materialize(reviews(labels).withColumn("h", F.xxhash64("doc_id")), "verdicts")
+    parts = [verdicts.filter(F.col("abusive") == F.lit(kind)).orderBy("h", "doc_id").limit(most) for kind in (True, False)]
+    part = F.when(F.col("abusive"), F.pmod("h", F.lit(FOLDS))).otherwise(FOLDS).cast("int")
+    return materialize(parts[0].unionByName(parts[1]).select("doc_id", part.alias("kind")), "picked")
 
 
 def scored(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Every document with its score: doc_id, source, score (0 to 1), abusive.
 
-    The score is the probability for the worst passage, centred so that 0.5 is the limit; null, empty and wordless texts
-    have score 0. Each row is scored by itself: whole texts of any length, repeated rows, null ids and sources come out
-    as rows of their own.
+    The score is the probability for the worst passage, centred so that 0.5 is the limit; null, empty and wordless texts,
+    and texts without any feature of abuse, have score 0, as have all where too little is reviewed to fit a model. Each
+    row is scored by itself: whole texts of any length, repeated rows, null ids and sources come out as rows of their own.
     """
     spark: SparkSession = documents.sparkSession
-    shared = spark.sparkContext.broadcast(train_on(documents, labels, doc, text))
-    docs = documents.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("t"))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        run = Scorer(model)
+    docs = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("t"))
+    picked = picked_reviews(labels)
+    words = vocabulary(docs.select("doc_id", "t"), picked)
+    table = passage_patterns(docs, words.slots)
+    shared = spark.sparkContext.broadcast(train(table, picked, words))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
         for f in frames:
-            z = (np.array(run(f["t"].tolist())) - model.threshold) * (4 / model.spread)
-            p = np.where(np.isinf(z), 0.0, _sigmoid(z))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "score": p, "abusive": p >= 0.5})
+            lists = f.column(2)
+            owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+            worst = _worst(model.margins(patterns_of(lists.flatten())), owner, len(lists)) if len(model.weights) else np.full(len(lists), -np.inf)
+            p = np.where(np.isinf(worst), 0.0, _sigmoid(4 * np.clip(worst, -10, 10)))
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), pa.array(p), pa.array(p > 0.5)], names=["doc_id", "source", "score", "abusive"])
 
-    return docs.mapInPandas(score, "doc_id long, source string, score double, abusive boolean")
+    return table.select("doc_id", "source", "patterns").mapInArrow(score, "doc_id long, source string, score double, abusive boolean")
 
 
 def source_rates(scores: DataFrame) -> DataFrame:
