@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,10 +47,14 @@ CLEAN_SHARE = 0.3
 LEAST_REACH = 0.3
 #: Different patterns that the driver holds; the gradients of more are summed in the executors, step by step.
 LOCAL_PATTERNS = 1_000_000
+#: Chunks of text that a worker remembers before it begins anew.
+MOST_CHUNKS = 300_000
 _BINS, _SPAN = 6000, 30.0
 
-_SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?…])\s+")
+_SENTENCE = re.compile(r"[\r\n]+|(?<=[.!?…])\s+|\x00")
 _CHUNK = re.compile(r"[^\s/\\_|,;:()\[\]{}<>\"“”„«»=+`~#]+")
+#: Stands for the end of a sentence or line; canonical texts hold no such character.
+_BREAK = "\x00"
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]){2,}[^\W\d_](?![^\s.,;:!?])")
 _DOTTED = re.compile(r"(?:[^\W_][.\-*·'’]){2,}[^\W_]")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -59,21 +63,22 @@ _HEX = re.compile(r"[0-9a-f]+")
 _RUN = re.compile(r"(.)\1+")
 
 
+def _chunks(text: str) -> list[str]:
+    """Chunks of a text in lower case, spaced letters joined, with a _BREAK between sentences and lines."""
+    text = text.casefold()
+    if _SPACED.search(text):
+        text = _SPACED.sub(lambda m: re.sub(r"\s", "", m.group()), text)
+    return _CHUNK.findall(_SENTENCE.sub(f" {_BREAK} ", text))
+
+
 def words_of(passage: str) -> list[str]:
     """Words in lower case with disguises undone: spaced or dotted letters, digits and signs for letters, stars.
 
     Numbers become "#", a word with stars inside becomes its visible ends around a star.
     """
-    passage = passage.casefold()
-    if _SPACED.search(passage):
-        passage = _SPACED.sub(lambda m: re.sub(r"\s", "", m.group()), passage)
-    out: list[str] = []
-    for chunk in _CHUNK.findall(passage):
-        out += _plain(chunk)
-    return out
+    return [w for chunk in _chunks(passage) if chunk != _BREAK for w in _plain(chunk)]
 
 
-@lru_cache(maxsize=100_000)
 def _plain(chunk: str) -> tuple[str, ...]:
     chunk = chunk.strip(_EDGE)
     if not chunk:
@@ -92,17 +97,17 @@ def _plain(chunk: str) -> tuple[str, ...]:
     return tuple(p if p.isalpha() else "#" for p in re.findall(r"[^\W\d_]+|\d+", chunk))
 
 
-def passages_of(text: str) -> list[list[str]]:
+def passages_of(text: str, plain: Callable[[str], tuple] = _plain) -> list[list]:
     """A canonical text's passages: sentences and lines, long ones in overlapping windows. No words, no passages."""
-    out = []
-    for sentence in _SENTENCE.split(text):
-        words = words_of(sentence)
-        if len(words) <= PASSAGE_WORDS:
-            if words:
-                out.append(words)
-        else:
+    out: list[list] = []
+    words: list = []
+    for chunk in [*_chunks(text), _BREAK]:
+        if chunk != _BREAK:
+            words += plain(chunk)
+        elif words:
             half = PASSAGE_WORDS // 2
-            out += [words[i : i + PASSAGE_WORDS] for i in range(0, len(words) - half, half)]
+            out += [words] if len(words) <= PASSAGE_WORDS else [words[i : i + PASSAGE_WORDS] for i in range(0, len(words) - half, half)]
+            words = []
     return out
 
 
@@ -110,17 +115,33 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (FEATURES - 1)
 
 
-@lru_cache(maxsize=200_000)
-def _word(word: str) -> tuple[int, tuple[int, ...]]:
-    """Hash of a word without doubled letters, and its slots: itself, with inner letters in any order, its parts of four letters."""
-    plain = _RUN.sub(r"\1", word)
-    out = {_slot("w " + plain)} if word != "#" else set()
-    if len(word) > 3:
-        edged = f"^{plain}$"
-        out |= {_slot("s " + plain[0] + "".join(sorted(plain[1:-1])) + plain[-1]), *(_slot("c " + edged[i : i + 4]) for i in range(len(edged) - 3))}
-    if "*" in word and len(word) > 1:
-        out.add(_slot("masked"))
-    return zlib.crc32(plain.encode()), tuple(out)
+class Lexicon(dict):
+    """Word numbers of chunks, with each word's hash and slots, worked out when a chunk is first met."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.number: dict[str, int] = {}
+        self.codes: list[int] = []
+        self.own: list[list[int]] = []
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        out = self[chunk] = tuple(map(self.word, _plain(chunk)))
+        return out
+
+    def word(self, word: str) -> int:
+        """A word's slots: itself without doubled letters, with inner letters in any order, its parts of four letters."""
+        n = self.number.setdefault(word, len(self.codes))
+        if n == len(self.codes):
+            plain = _RUN.sub(r"\1", word)
+            out = {_slot("w " + plain)} if word != "#" else set()
+            if len(word) > 3:
+                edged = f"^{plain}$"
+                out |= {_slot("s " + plain[0] + "".join(sorted(plain[1:-1])) + plain[-1]), *(_slot("c " + edged[i : i + 4]) for i in range(len(edged) - 3))}
+            if "*" in word and len(word) > 1:
+                out.add(_slot("masked"))
+            self.codes.append(zlib.crc32(plain.encode()))
+            self.own.append(list(out))
+        return n
 
 
 def _pair_slots(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
@@ -129,14 +150,19 @@ def _pair_slots(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
 
 
 def slots_of(passages: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Passage numbers and slots of all features, not in order and repeated: words, neighbours, words with one between."""
-    size = np.array([len(p) for p in passages], np.int64)
-    number: dict[str, int] = {}
-    word = np.array([number.setdefault(w, len(number)) for p in passages for w in p], np.int64)
-    known = [_word(w) for w in number]
-    code = np.array([h for h, _ in known], np.uint64)[word] if known else np.zeros(0, np.uint64)
-    many = np.array([len(x) for _, x in known], np.int64)
-    flat = np.fromiter((x for _, own in known for x in own), np.int64, int(many.sum()))
+    """Passage numbers and slots of all features of passages of words, not in order and repeated."""
+    words = Lexicon()
+    return _slots([[words.word(w) for w in p] for p in passages], words)
+
+
+def _slots(passages: list[list[int]], words: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """The same of passages of word numbers: words, neighbours, words with one between."""
+    size = np.fromiter(map(len, passages), np.int64, len(passages))
+    used, word = np.unique(np.fromiter(chain.from_iterable(passages), np.int64, int(size.sum())), return_inverse=True)
+    own = [words.own[w] for w in used]
+    code = np.array([words.codes[w] for w in used], np.uint64)[word] if len(used) else np.zeros(0, np.uint64)
+    many = np.fromiter(map(len, own), np.int64, len(own))
+    flat = np.fromiter(chain.from_iterable(own), np.int64, int(many.sum()))
     row = np.repeat(np.arange(len(passages)), size)
     each = many[word] if len(word) else np.zeros(0, np.int64)
     first = np.cumsum(many) - many
@@ -154,17 +180,19 @@ class Texts:
     """Passages and slots of a batch of texts, each passage of a text once."""
 
     def __init__(self) -> None:
-        self.make = Canonicalizer(tables())
+        self.make, self.words = Canonicalizer(tables()), Lexicon()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The text of each passage; passage numbers and slots."""
+        if len(self.words) > MOST_CHUNKS:
+            self.words = Lexicon()
         own: list[int] = []
-        passages: list[list[str]] = []
+        passages: list[list[int]] = []
         for i, text in enumerate(_canonical(self.make, texts)):
-            different = {" ".join(p): p for p in passages_of(text)}
+            different = {tuple(p): p for p in passages_of(text, self.words.__getitem__)}
             own += [i] * len(different)
             passages += different.values()
-        return np.array(own, np.int64), *slots_of(passages)
+        return np.array(own, np.int64), *_slots(passages, self.words)
 
 
 def _canonical(make: Canonicalizer, texts: list[str | None]) -> list[str]:
