@@ -241,13 +241,14 @@ def vocabulary(documents: DataFrame, picked: DataFrame) -> Vocabulary:
 
     kinds = [f"k{k}" for k in range(FOLDS + 1)]
     counted = reviewed.mapInArrow(count, "slot long, " + ", ".join(f"{k} long" for k in kinds)).groupBy("slot").agg(*[F.sum(k).alias(k) for k in kinds])
-    total = counted.filter("slot = -1").collect()
-    n = np.array([total[0][k] for k in kinds] if total else [0] * (FOLDS + 1))
     positive = sum(F.col(k) for k in kinds[:FOLDS])
-    expected = float(n[:FOLDS].sum()) / (float(n[FOLDS]) + 1) * (F.col(kinds[FOLDS]) + 0.5)
     # at most FEATURES rows
-    kept = counted.filter((F.col("slot") >= 0) & (positive >= LEAST_POSITIVE) & (positive + 1 >= LEAST_LIFT * (expected + 1))).orderBy("slot").collect()
-    table = np.array([list(r) for r in kept], np.int64).reshape(-1, FOLDS + 2)
+    kept = counted.filter((F.col("slot") < 0) | (positive >= LEAST_POSITIVE)).orderBy("slot").toArrow()
+    table = np.array([c.to_numpy() for c in kept.columns], np.int64).T
+    n = table[0, 1:] if len(table) else np.zeros(FOLDS + 1, np.int64)
+    table = table[1:]
+    expected = n[:FOLDS].sum() / (n[FOLDS] + 1) * (table[:, -1] + 0.5)
+    table = table[table[:, 1:-1].sum(1) + 1 >= LEAST_LIFT * (expected + 1)]
     return Vocabulary(table[:, 0], table[:, 1 : FOLDS + 1], table[:, FOLDS + 1], n[:FOLDS], int(n[FOLDS]))
 
 

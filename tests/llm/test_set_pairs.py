@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from helpers import rows
 
 from arborix.llm import set_pairs as S
@@ -46,6 +47,42 @@ def test_figures_copies_and_dirt(spark):
 
 def test_parameters_follow_the_threshold():
     for t in (0.5, 0.8, 0.95):
-        depth = S.prefix_depth(t)
-        assert 1 - (1 - t**depth) ** S.TREES >= S.TARGET_RECALL
+        for depth, trees in S.rounds(t):
+            assert 1 - (1 - t**depth) ** trees >= S.TARGET_RECALL and (trees == S.TREES or trees <= S.MOST_TREES)
+    assert len(S.rounds(0.8)) == 3 and S.rounds(1.0) == [(1, S.TREES)]
     assert S.smallest_inexact(0.8) == 4 and S.sketch_distance(0.8) < S.SKETCH_BITS // 2
+
+
+def family(seed, copies=150, core=40, own=6):
+    """Many sets that are alike, below the limit, with some pairs above it."""
+    rnd = random.Random(seed)
+    base = set(range(core))
+    out = {f"/f{i}": base | {rnd.randrange(1000, 10**9) for _ in range(own)} for i in range(copies)}
+    for i in range(0, copies, 7):
+        out[f"/g{i}"] = out[f"/f{i}"] | {rnd.randrange(1000, 10**9)}
+    return out
+
+
+def test_neighbourhoods_beyond_the_window(spark):
+    """A window far below the family takes all pairs through the further rounds and the blocks."""
+    sets = family(3)
+    df = spark.createDataFrame([(p, list(v)) for p, v in sets.items()], "path string, tokens array<long>")
+    found = S.set_classes(df, "path", "tokens")
+    name = {r["cid"]: r["rep"] for r in found.classes.collect()}
+    for window in (3, 20, 1000):
+        got = sorted(tuple(sorted((name[r["a"]], name[r["b"]]))) for r in S.class_pairs(found.classes, 0.8, window=window).collect())
+        assert got == brute(sets, 0.8)
+
+
+def test_windows_of_a_sorted_tree():
+    """Batches of any size give the same pairs, and classes are unsettled just where the window was too short."""
+    rnd = random.Random(5)
+    key = sorted(rnd.randrange(12) for _ in range(120))
+    table = pa.table({"key": pa.array(key, pa.int64()), "cid": pa.array(range(120), pa.int64()), "n": pa.array([9] * 120, pa.int32()), "bits": pa.array([0] * 120, pa.int64())})
+    for window in (1, 4, 50):
+        pairs = {(i, j) for i in range(120) for j in range(i + 1, 120) if key[i] == key[j]}
+        want = {(i, j) for i, j in pairs if j - i <= window} | {(i, None) for p in pairs if p[1] - p[0] > window for i in p}
+        for size in (1, 7, 200):
+            got = [(r["a"], r["b"]) for b in S.neighbours(iter(table.to_batches(size)), 0.8, window) for r in b.to_pylist()]
+            assert {x for x in got if x[1] is not None} == {x for x in want if x[1] is not None}
+            assert {x for x in got if x[1] is None} == {x for x in want if x[1] is None}
