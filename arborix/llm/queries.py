@@ -38,7 +38,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surviving record of each duplicate hash, built field by field."""
+    """The surviving record of each duplicate hash, built field by field from the claims judged true."""
     return survivors(load(spark, sf_dir, "files"))
 
 
