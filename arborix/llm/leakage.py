@@ -2,36 +2,37 @@
 
 The normalised items are indexed in a generalised suffix automaton over words. A document's words are streamed through it
 while the length of the longest match that ends at each word is tracked; runs of at least a given length are reported
-with all items that hold them, and their spans can be removed.
+with all items that hold them, and their spans can be removed. Many items make several automata of bounded size, which each
+batch of documents meets one after the other, so that the documents are read and split once and never shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborix.llm.canonical import DRAWN_FORMATS, UNDRAWN
-from arborix.runtime import materialize
 
 #: Consecutive words that make a leak.
 LEAST_WORDS = 20
 #: Words of items in one automaton: about 60 MB a Python worker. More items are taken in blocks of this size.
 BLOCK_WORDS = 100_000
+#: Automata that a worker holds at once; of more, each is loaded for a batch and let go again.
+RESIDENT = 4
 
 # HTML elements that do not break a word.
 _INLINE = "a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strike|strong|sub|sup|tt|u|var"
-_INLINE_TAG = re.compile(rf"</?(?:{_INLINE})(?:\s[^<>]{{0,1000}})?/?>", re.I)
-_MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,1000}>|(?<=\])\([^()\s]{0,2000}\)", re.S)
+_INLINE_TAG = re.compile(rf"</?(?:{_INLINE})(?:\s[^<>]*)?/?>", re.I)
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|(?<=\])\([^()\s]*\)")
 _INVISIBLE = "".join(re.escape(chr(c)) for c in sorted({*UNDRAWN, *(c for c in range(0x80, 0xFFFF) if unicodedata.category(chr(c)) == "Cf" and c not in DRAWN_FORMATS)}))
 _MARKS = "\\u0300-\\u036f\\u20d0-\\u20ff"
 _WORD = re.compile(rf"[^\W_][\w{_INVISIBLE}{_MARKS}]*")
@@ -46,6 +47,15 @@ class Words(NamedTuple):
     text: str
 
 
+def _without_comments(text: str) -> str:
+    """Comments of any length become a blank; the text is passed once, also where comments do not end."""
+    out, at = [], 0
+    while (begin := text.find("<!--", at)) >= 0 and (end := text.find("-->", begin + 4)) >= 0:
+        out += [text[at:begin], " "]
+        at = end + 3
+    return "".join([*out, text[at:]]) if out else text
+
+
 def words_of(text: str | None) -> Words:
     """Words in their compared form, and their places in the text without markup.
 
@@ -57,7 +67,7 @@ def words_of(text: str | None) -> Words:
     if "&" in text and ";" in text:
         text = html.unescape(text)
     if "<" in text or "](" in text:
-        text = _MARKUP.sub(" ", _INLINE_TAG.sub("", text))
+        text = _MARKUP.sub(" ", _INLINE_TAG.sub("", _without_comments(text)))
     words, starts, ends = [], [], []
     if text.isascii():
         for m in _PART.finditer(text.lower()):
@@ -86,7 +96,7 @@ class Automaton(NamedTuple):
     moves: list[dict[int, int]]
     link: list[int]
     length: list[int]
-    #: For states of at least the least length: all items with the state's strings.
+    #: For states of at least the least length: all items with the state's strings; equal tuples are one object.
     items: dict[int, tuple[int, ...]]
     least: int
 
@@ -137,7 +147,8 @@ def build_automaton(items: list[tuple[int, list[str]]], least: int = LEAST_WORDS
     for state in sorted(range(1, len(moves)), key=length.__getitem__, reverse=True):
         if link[state] > 0:
             owners[link[state]] |= owners[state]
-    held = {s: tuple(sorted(o)) for s, o in enumerate(owners) if length[s] >= least}
+    one: dict[tuple[int, ...], tuple[int, ...]] = {}
+    held = {s: one.setdefault(t := tuple(sorted(o)), t) for s, o in enumerate(owners) if length[s] >= least}
     return Automaton(vocabulary, moves, link, length, held, least)
 
 
@@ -146,12 +157,21 @@ def match(a: Automaton, words: list[str]) -> tuple[dict[int, int], list[tuple[in
     known = np.fromiter((a.vocabulary.get(w, -1) for w in words), np.int64, len(words))
     best: dict[int, int] = {}
     spans: list[tuple[int, int]] = []
+
+    def count(held: list[tuple[tuple[int, ...], int]]) -> None:
+        for items, run in held:
+            for item in items:
+                if best.get(item, 0) < run:
+                    best[item] = run
+
     # only stretches of known words can hold a match
     edges = np.flatnonzero(np.diff(np.r_[False, known >= 0, False].astype(np.int8)))
     for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         if end - begin < a.least:
             continue
         state, matched = 0, 0
+        # the items of the last word's state and of its suffixes, counted once a word no longer has them all in longer runs
+        held: list[tuple[tuple[int, ...], int]] = []
         for place, w in enumerate(known[begin:end].tolist(), begin):
             while state and w not in a.moves[state]:
                 state = a.link[state]
@@ -165,32 +185,82 @@ def match(a: Automaton, words: list[str]) -> tuple[dict[int, int], list[tuple[in
                     spans[-1] = (min(first, spans[-1][0]), place + 1)
                 else:
                     spans.append((first, place + 1))
-                s, run = state, matched
+                s, run, here = state, matched, []
                 while s > 0 and a.length[s] >= a.least:
-                    for item in a.items[s]:
-                        if best.get(item, 0) < run:
-                            best[item] = run
+                    here.append((a.items[s], run))
                     s = a.link[s]
                     run = a.length[s]
+                if len(here) != len(held) or any(x is not y or m > n for (x, m), (y, n) in zip(held, here, strict=True)):
+                    count(held)
+                held = here
+        count(held)
     return best, spans
 
 
-def item_blocks(items: DataFrame, item: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
-    """The stated items in blocks of at most block_words words, or one longer item; items with null id or text are left out."""
+def item_blocks(items: DataFrame, item: str, text: str, block_words: int = BLOCK_WORDS, least: int = LEAST_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
+    """The stated items in blocks of at most block_words words; items with null id or text are left out.
+
+    A longer item is cut into pieces that overlap by half, so no run of up to half a block is lost; of a longer run the
+    longest part within a piece is reported.
+    """
+    most = max(block_words, 4 * least)
     block, held = [], 0
     for row in items.select(F.col(item).alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct().toLocalIterator():
         words = words_of(row["t"]).words
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((row["i"], words))
-        held += len(words)
+        for at in range(0, max(1, len(words) - most // 2), most // 2) if len(words) > most else (0,):
+            piece = words[at : at + most]
+            if block and held + len(piece) > block_words:
+                yield block
+                block, held = [], 0
+            block.append((row["i"], piece))
+            held += len(piece)
     if block:
         yield block
 
 
+class Automata:
+    """All items as broadcast automata of bounded size; texts are matched against one after the other."""
+
+    def __init__(self, items: DataFrame, item: str, text: str, least: int) -> None:
+        context = items.sparkSession.sparkContext
+        self.least = least
+        self.parts: list[Broadcast] = []
+        for block in item_blocks(items, item, text):
+            sizes: dict[int, int] = {}
+            for i, w in block:
+                sizes[i] = max(sizes.get(i, 0), len(w))
+            self.parts.append(context.broadcast((build_automaton(block, least), sizes)))
+
+    def __call__(self, words: list[list[str]]) -> list[tuple[dict[int, int], dict[int, int], list[tuple[int, int]]]]:
+        """For each text: the longest run with each item, the words of these items, and the merged spans of all runs."""
+        out: list[tuple[dict[int, int], dict[int, int], list[tuple[int, int]]]] = [({}, {}, []) for _ in words]
+        for part in self.parts:
+            automaton, sizes = part.value
+            for (best, size, spans), w in zip(out, words, strict=True):
+                if len(w) < self.least:
+                    continue
+                runs, more = match(automaton, w)
+                for i, run in runs.items():
+                    best[i] = max(best.get(i, 0), run)
+                    size[i] = max(size.get(i, 0), sizes[i])
+                spans += more
+            if len(self.parts) > RESIDENT:
+                part.__dict__.pop("_value", None)
+        return [(best, size, merged(spans)) for best, size, spans in out]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (first, end) in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
+
+
 _FOUND = "doc_id long, item_id long, longest_run int, item_words int, leaked_words int, doc_words int"
-_SPANS = ", digest string, first array<int>, end array<int>"
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -198,67 +268,25 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
 
     Columns: doc_id, item_id, longest_run, item_words, leaked_words (words of the document inside any such run) and
     doc_words. Rows with null ids or texts, and texts shorter than `least` words, give nothing; repeated rows count once;
-    other columns are ignored. Each block of items is one broadcast automaton of bounded size and one pass over the
-    documents; the documents are never shuffled. With several blocks, the spans of all meet by the digest of the text.
+    other columns are ignored. The documents are read once and never shuffled.
     """
-    spark: SparkSession = documents.sparkSession
     docs = documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).filter("d IS NOT NULL AND t IS NOT NULL")
-    out, blocks = None, item_blocks(items, item, item_text)
-    ahead = [b for b in (next(blocks, None), next(blocks, None)) if b is not None]
-    several = len(ahead) > 1
-    form = _FOUND + (_SPANS if several else "")
-    for block in chain(ahead, blocks):
-        shared = spark.sparkContext.broadcast((build_automaton(block, least), {i: len(w) for i, w in block}))
-
-        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            a, sizes = shared.value
-            for frame in frames:
-                rows = []
-                for d, t in zip(frame["d"].tolist(), frame["t"].tolist(), strict=True):
-                    words = words_of(t).words
-                    if len(words) < a.least:
-                        continue
-                    best, spans = match(a, words)
-                    inside = sum(e - s for s, e in spans)
-                    held = (hashlib.md5(t.encode()).hexdigest(), [s for s, _ in spans], [e for _, e in spans]) if several and best else ()
-                    rows += [(d, i, run, sizes[i], inside, len(words), *held) for i, run in best.items()]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in form.split(", ")])
-
-        found = docs.mapInPandas(scan, form)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], _FOUND)
-    if not several:
-        return out.distinct()
-    # a text hit by several blocks: each word counts once; its spans are at most its words
-    out = materialize(out, "leaks")
-    spans = out.select("digest", F.explode(F.arrays_zip("first", "end")).alias("s")).select("digest", "s.first", "s.end").distinct()
-    before = F.max("end").over(Window.partitionBy("digest").orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("end") - F.greatest("first", F.coalesce(before, F.lit(0))))
-    merged = spans.select("digest", new.alias("new")).groupBy("digest").agg(F.sum("new").cast("int").alias("leaked_words"))
-    return out.drop("leaked_words", "first", "end").join(merged, "digest").select(*[c.split()[0] for c in _FOUND.split(", ")]).distinct()
-
-
-_CLEAN = "doc_id long, text string, removed_words int, doc_words int, dropped boolean"
+    automata = Automata(items, item, item_text, least)
 
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            words = [words_of(t).words for t in frame["t"].tolist()]
+            rows = [
+                (d, i, run, size[i], sum(e - s for s, e in spans), len(w))
+                for d, w, (best, size, spans) in zip(frame["d"].tolist(), words, automata(words), strict=True)
+                for i, run in best.items()
+            ]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
-def leaked_spans(documents: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """digest (MD5 of a text), first, end: merged spans of words shared with items of one block; texts without any give nothing."""
-    spark: SparkSession = documents.sparkSession
-    docs = documents.select(F.md5(text).alias("h"), F.col(text).alias("t")).filter("t IS NOT NULL")
-    out = None
-    for block in item_blocks(items, item, item_text):
-        shared = spark.sparkContext.broadcast(build_automaton(block, least))
+    return docs.mapInPandas(scan, _FOUND).distinct()
 
-        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            a = shared.value
-            for frame in frames:
-                rows = [(h, s, e) for h, t in zip(frame["h"].tolist(), frame["t"].tolist(), strict=True) for s, e in match(a, words_of(t).words)[1]]
-                yield pd.DataFrame(rows, columns=["digest", "first", "end"])
 
-        found = docs.mapInPandas(scan, "digest string, first int, end int")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "digest string, first int, end int")
+_CLEAN = "doc_id long, text string, removed_words int, doc_words int, dropped boolean"
 
 
 def without_leaks(
@@ -267,27 +295,20 @@ def without_leaks(
     """Every document without the spans shared with items: doc_id, text, removed_words, doc_words, dropped.
 
     A document whose shared words exceed most_coverage of its words is dropped: its text is null. Null and empty texts
-    come out as they are; a text without a leak comes out unchanged, one with a leak without markup. Spans of all blocks
-    of items meet again by the digest of the text, so null and repeated ids do no harm.
+    come out as they are; a text without a leak comes out unchanged, one with a leak without markup. Each row is cleaned
+    where it is read, so null and repeated ids do no harm.
     """
-    # one row a text with a leak; its spans are at most its words
-    spans = leaked_spans(documents, items, text, item, item_text, least).distinct().groupBy("digest").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"))
-    docs = documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).withColumn("digest", F.md5("t")).join(spans, "digest", "left").drop("digest")
+    automata = Automata(items, item, item_text, least)
 
     def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for d, t, first, end in zip(frame["d"].tolist(), frame["t"].tolist(), frame["first"].tolist(), frame["end"].tolist(), strict=True):
-                w = words_of(t)
-                hit = np.zeros(len(w.words) + 1, bool)
-                for s, e in zip(first, end, strict=True) if first is not None else ():
-                    hit[s:e] = True
-                n = int(hit.sum())
+            rows, split = [], [words_of(t) for t in frame["t"].tolist()]
+            for d, t, w, (_, _, spans) in zip(frame["d"].tolist(), frame["t"].tolist(), split, automata([w.words for w in split]), strict=True):
+                n = sum(e - s for s, e in spans)
                 dropped = n > most_coverage * len(w.words)
                 if n and not dropped:
-                    cut = np.flatnonzero(np.diff(np.r_[False, hit].astype(np.int8)))
                     kept, at = [], 0
-                    for s, e in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True):
+                    for s, e in spans:
                         kept.append(w.text[at : w.starts[s]])
                         at = w.ends[e - 1]
                     t = "".join([*kept, w.text[at:]])
@@ -296,4 +317,4 @@ def without_leaks(
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.mapInPandas(clean, _CLEAN)
+    return documents.select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInPandas(clean, _CLEAN)

@@ -33,6 +33,7 @@ def test_matches_brute_force():
 def test_words():
     assert words_of("The <b>QU</b>ick, bro​wn\nfox_es & café ＡＢ １２").words == ["the", "quick", "brown", "fox", "es", "café", "ab", "12"]
     assert words_of("[copy](http://x.y/z) &amp; **more** <br>line").words == ["copy", "more", "line"]
+    assert words_of(f"one <img src={'x' * 5000}> two <!-- {'no ' * 5000} --> three [x]({'u' * 5000}) <b class={'y' * 5000}>fo</b>ur <!-- open").words == ["one", "two", "three", "x", "four", "open"]
     assert words_of(None).words == [] and words_of("").words == [] and words_of("?!").words == []
 
 
@@ -62,8 +63,35 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 
     docs, items = frames(spark)
     want = rows(leaks(docs, items), "doc_id", "item_id", "longest_run")
-    monkeypatch.setattr(module.item_blocks, "__defaults__", (10,))
-    assert rows(leaks(docs, items), "doc_id", "item_id", "longest_run") == want
+    cleaned = rows(without_leaks(docs, items))
+    monkeypatch.setattr(module.item_blocks, "__defaults__", (10, 20))
+    for resident in (4, 1):
+        monkeypatch.setattr(module, "RESIDENT", resident)
+        assert rows(leaks(docs, items), "doc_id", "item_id", "longest_run") == want
+        assert rows(without_leaks(docs, items)) == cleaned
+
+
+def test_one_instruction_in_many_items():
+    """Items that share a long beginning, each with an end of its own."""
+    rnd = random.Random(2)
+    head = [f"h{i}" for i in range(40)]
+    items = [(i, head + [f"t{i}w{k}" for k in range(5)] + head[: i % 7]) for i in range(60)]
+    a = build_automaton(items, 6)
+    for _ in range(30):
+        doc = [w for _ in range(4) for w in rnd.choice([head[rnd.randrange(20) :], rnd.choice(items)[1], ["x"], head[: rnd.randrange(40)]])]
+        want = {i: run_of(doc, w) for i, w in items if run_of(doc, w) >= 6}
+        assert match(a, doc)[0] == want
+
+
+def test_items_longer_than_a_block(spark, monkeypatch):
+    import arborix.llm.leakage as module
+
+    w = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(w[100:135])), (2, " ".join(w[270:])), (3, " ".join(w[:25]))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(w))], "item_id long, text string")
+    want = rows(leaks(docs, items), "doc_id", "item_id", "longest_run")
+    monkeypatch.setattr(module.item_blocks, "__defaults__", (10, 20))
+    assert rows(leaks(docs, items), "doc_id", "item_id", "longest_run") == want == [(1, 5, 35), (2, 5, 30), (3, 5, 25)]
 
 
 def test_leaked_words_count_over_all_blocks(spark, monkeypatch):
@@ -76,7 +104,7 @@ def test_leaked_words_count_over_all_blocks(spark, monkeypatch):
     assert rows(leaks(docs, items), "doc_id", "item_id", "leaked_words") == want
     columns = leaks(docs, items).columns
     whole = rows(leaks(docs, items))
-    monkeypatch.setattr(module.item_blocks, "__defaults__", (10,))
+    monkeypatch.setattr(module.item_blocks, "__defaults__", (10, 20))
     assert rows(leaks(docs, items), "doc_id", "item_id", "leaked_words") == want
     assert rows(leaks(docs, items)) == whole and leaks(docs, items).columns == columns
 
