@@ -19,14 +19,12 @@ from pyspark.sql import functions as F
 
 from arborix.runtime import materialize
 
-#: A public vocabulary as ranks of its byte strings; the token behind a document is the first free number.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the pattern that this vocabulary splits text with.
+# Fixed value: the pattern that the vocabulary splits text with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 256
 SHARD_BLOCKS = 2048
-#: Buckets in which a source's documents are numbered; no task holds more than one bucket of one source.
-BUCKETS = 1024
+#: Documents of one bucket, about, in which a source's documents are numbered by their lengths.
+BUCKET_DOCUMENTS = 100_000
 #: Part of what the scarcest source allows that is drawn, so that few draws exceed it.
 HEADROOM = 0.98
 #: Sources a mixture may have; the plan of a mixture is made on the driver, one entry a source.
@@ -41,8 +39,12 @@ class Mixture(NamedTuple):
     shares: DataFrame
 
 
-def tokenized(documents: DataFrame, doc: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """d, s, ids: each document's tokens with an end-of-text token behind them. Null documents, texts or sources are left out."""
+def tokenized(documents: DataFrame, doc: str, text: str, source: str, tokenizer: str) -> DataFrame:
+    """d, s, ids: each document's tokens with an end-of-text token behind them. Null documents, texts or sources are left out.
+
+    tokenizer is the path of a public vocabulary as ranks of its byte strings; the token behind a document is the first
+    free number.
+    """
     spark = documents.sparkSession
     with open(tokenizer, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary of fixed size, below 1 MB
@@ -61,15 +63,21 @@ def tokenized(documents: DataFrame, doc: str, text: str, source: str, tokenizer:
     return flat.mapInArrow(encode, "d long, s string, ids array<int>")
 
 
-def packed(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """s, block, tokens, doc_ids: the documents of each source, in order of a hash, cut to blocks; the last may be shorter."""
-    sized = tokens.select("d", "s", "ids", F.size("ids").cast("long").alias("n"), F.pmod(F.xxhash64("d"), F.lit(BUCKETS)).alias("bucket"))
-    within = Window.partitionBy("s", "bucket").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+def packed(tokens: DataFrame, block_tokens: int = BLOCK_TOKENS, bucket_documents: int = BUCKET_DOCUMENTS) -> DataFrame:
+    """s, block, tokens, doc_ids: the documents of each source, in order of a hash, cut to blocks; the last may be shorter.
+
+    tokens is a written table of row (unique), d, s, ids. Only lengths are numbered, in buckets of about bucket_documents;
+    a source of any size has as many buckets as it needs. The tokens meet their places in one join by row.
+    """
+    sized = tokens.select("row", "d", "s", F.size("ids").cast("long").alias("n"))
+    counts = sized.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / bucket_documents).alias("buckets"))
+    sized = sized.join(F.broadcast(counts), "s").withColumn("bucket", F.pmod(F.xxhash64("d"), F.col("buckets")))  # at most MOST_SOURCES rows
+    within = Window.partitionBy("s", "bucket").orderBy("d", "row").rowsBetween(Window.unboundedPreceding, -1)
     totals = sized.groupBy("s", "bucket").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a source
+    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     starts = totals.select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = sized.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["s", "bucket"])
-    placed = placed.select("d", "s", "ids", "n", (F.col("base") + F.col("inner")).alias("at"))
+    placed = tokens.join(placed.select("row", "n", (F.col("base") + F.col("inner")).alias("at")), "row")
     size = F.lit(block_tokens)
     first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size)
 
@@ -129,8 +137,8 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", total_blocks: int | None = None,
-    block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, tokenizer: str = TOKENIZER, seed: int = SEED,
+    documents: DataFrame, targets: DataFrame, tokenizer: str, doc: str = "doc_id", text: str = "text", source: str = "source", total_blocks: int | None = None,
+    block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED,
 ) -> Mixture:
     """The mixture, block by block, and the shares reached.
 
@@ -138,7 +146,8 @@ def mix(
     0 and documents; a null, negative or not-a-number share is 0; a null max_repeats is 1, one below 1 leaves the source
     out; a source listed again counts once, with its largest share. No block, and so no document, is used more often than
     max_repeats: a slot drawn beyond what a source has stays empty and is missing from the mixture. Documents of sources
-    that are not listed are not used. Doc ids are unique; empty texts count as one end-of-text token.
+    that are not listed are not used. Rows with the same id are documents of their own;
+    empty texts count as one end-of-text token.
     """
     spark = documents.sparkSession
     share = F.when((F.col("target_share") > 0) & ~F.isnan("target_share"), F.col("target_share")).otherwise(0.0)
@@ -149,7 +158,9 @@ def mix(
         raise ValueError(f"more than {MOST_SOURCES} sources")
     used = spark.createDataFrame([(s,) for s, w, r in listed if w > 0 and r > 0], "source string")
     mine = documents.join(F.broadcast(used), documents[source] == used["source"], "left_semi")  # at most MOST_SOURCES rows
-    blocks = materialize(packed(materialize(tokenized(mine, doc, text, source, tokenizer), "tokens"), block_tokens), "blocks")
+    # written at once, so that the row numbers stay what they are
+    tokens = materialize(tokenized(mine, doc, text, source, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    blocks = materialize(packed(tokens, block_tokens), "blocks")
     have = {r["s"]: r["n"] for r in blocks.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = [s for s, _, _ in listed]
     n_blocks = np.array([have.get(s, 0) for s in names], np.int64)

@@ -15,6 +15,10 @@ from arborix.llm.toxicity import scored, source_rates
 from arborix.runtime import load
 
 
+#: A public vocabulary, read where the library is installed.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of folders whose token sets reach a Jaccard similarity of 0.8."""
     pairs = similar_record_pairs(load(spark, sf_dir, "folder_sets"), "path", "token_set")
@@ -47,6 +51,11 @@ def p3_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return true_values(load(spark, sf_dir, "files")).values
 
 
+def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value judged true with its posterior: the fields of the survivors, whole."""
+    return p3_truth(spark, sf_dir).filter("kept").drop("kept")
+
+
 def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensitivity and specificity of each volume."""
     return true_values(load(spark, sf_dir, "files")).sources
@@ -92,12 +101,17 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of documents at the shares of source_targets, block by block."""
-    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets")).blocks
+    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets"), TOKENIZER).blocks
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares wanted and reached, by source."""
-    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets")).shares
+    return mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "source_targets"), TOKENIZER).shares
+
+
+def p7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p7_shares that does not depend on tokens: share stated, share to reach, repeats."""
+    return p7_shares(spark, sf_dir).select("source", "stated_share", F.round("target_share", 9).alias("target_share"), "max_repeats")
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +156,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_survivors": p3_survivors,
     "p3_truth": p3_truth,
+    "p3_kept": p3_kept,
     "p3_sources": p3_sources,
     "p4_found": p4_found,
     "p4_group_sizes": p4_group_sizes,
@@ -152,6 +167,7 @@ QUERIES = {
     "p6_cleaned": p6_cleaned,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_targets": p7_targets,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_source_rates": p8_source_rates,
@@ -171,6 +187,12 @@ p AS (SELECT h, id, row_number() OVER (PARTITION BY h ORDER BY f DESC, e DESC, u
 t AS (SELECT h, id, row_number() OVER (PARTITION BY h ORDER BY m DESC, id) AS k FROM r WHERE u AND h IS NOT NULL AND id IS NOT NULL)
 SELECT p.h AS hash, p.id AS path_id, coalesce(t.id, -1) AS modified_id FROM p LEFT JOIN t ON t.h = p.h AND t.k = 1
 WHERE p.k = 1 AND p.h IN (SELECT h FROM r GROUP BY h HAVING count(DISTINCT id) > 1)""",
+    "p7_targets": """WITH listed AS (
+  SELECT source, CASE WHEN target_share > 0 AND NOT isnan(target_share) THEN target_share ELSE 0 END AS w, coalesce(max_repeats, 1) AS r FROM source_targets WHERE source IS NOT NULL),
+best AS (SELECT source, w, r FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY w DESC, r DESC) AS k FROM listed) WHERE k = 1),
+usable AS (SELECT sum(w) AS total FROM best WHERE r > 0 AND source IN (SELECT source FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))
+SELECT source, w AS stated_share, round(CASE WHEN w > 0 AND r > 0 AND source IN (SELECT source FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) THEN w / total ELSE 0 END, 9) AS target_share, greatest(r, 0) AS max_repeats
+FROM best, usable""",
     "p4_found": f"WITH RECURSIVE {_LINKS} SELECT folder_path, group_folder FROM grouped",
     "p4_group_sizes": f"WITH RECURSIVE {_LINKS} SELECT group_folder, count(*) AS folders FROM grouped GROUP BY 1",
 }

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from arborix.llm import mixing as M
+from arborix.llm.queries import TOKENIZER
 
 
 @given(st.integers(1, 3000), st.integers(0, 2**40))
@@ -25,7 +27,7 @@ def test_allocation():
     assert M.allocate(np.zeros(2), np.ones(2), None).sum() == 0
 
 
-needs = pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no vocabulary files")
+needs = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no vocabulary files")
 
 
 @pytest.fixture(scope="module")
@@ -43,11 +45,13 @@ def test_blocks_hold_every_token_once(spark, frames):
     import tiktoken
 
     docs, _ = frames
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(M.TOKENIZER, "rb"))}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(TOKENIZER, "rb"))}
     t = tiktoken.Encoding("own", pat_str=M.SPLIT, mergeable_ranks=ranks, special_tokens={})
-    blocks = M.packed(M.tokenized(docs, "doc_id", "text", "source"), 64).collect()
+    docs = docs.unionByName(docs.filter("doc_id = 7"))
     rows = [r for r in docs.collect() if None not in (r["doc_id"], r["text"], r["source"])]
-    for s in ("big", "small"):
+    tokens = M.tokenized(docs, "doc_id", "text", "source", TOKENIZER).withColumn("row", F.monotonically_increasing_id()).cache()
+    for s, bucket in (("big", 100_000), ("small", 100_000), ("big", 20), ("small", 1)):
+        blocks = M.packed(tokens, 64, bucket).collect()
         mine = sorted((b for b in blocks if b["s"] == s), key=lambda b: b["block"])
         assert [b["block"] for b in mine] == list(range(len(mine))) and all(len(b["tokens"]) == 64 for b in mine[:-1])
         stream = [x for b in mine for x in b["tokens"]]
@@ -69,7 +73,7 @@ def _split(stream, end):
 @needs
 def test_shares_and_caps(spark, frames):
     docs, targets = frames
-    m = M.mix(docs, targets, total_blocks=400, block_tokens=64, shard_blocks=50)
+    m = M.mix(docs, targets, TOKENIZER, total_blocks=400, block_tokens=64, shard_blocks=50)
     shares = {r["source"]: r for r in m.shares.collect()}
     assert set(shares) == {"big", "small", "gone", "zero", "nan", "null"}
     assert shares["gone"]["tokens"] == shares["zero"]["tokens"] == shares["nan"]["tokens"] == 0
@@ -78,7 +82,7 @@ def test_shares_and_caps(spark, frames):
     used = got.groupby(["source", "block"]).size()
     assert used["big"].max() == 1 and used["small"].max() == 1
     assert got.groupby(["shard", "slot"]).size().max() == 1
-    again = M.mix(docs, targets, total_blocks=400, block_tokens=64, shard_blocks=50).blocks.drop("tokens").toPandas()
+    again = M.mix(docs, targets, TOKENIZER, total_blocks=400, block_tokens=64, shard_blocks=50).blocks.drop("tokens").toPandas()
     key = ["shard", "slot", "source", "block"]
     assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
 
@@ -87,7 +91,7 @@ def test_shares_and_caps(spark, frames):
 def test_repeats_reach_the_cap_and_not_more(spark, frames):
     docs, _ = frames
     targets = spark.createDataFrame([("small", 1.0, 3)], "source string, target_share double, max_repeats int")
-    got = M.mix(docs, targets, total_blocks=10**6, block_tokens=64).blocks.toPandas()
+    got = M.mix(docs, targets, TOKENIZER, total_blocks=10**6, block_tokens=64).blocks.toPandas()
     used = got.groupby("block").size()
     assert used.min() == 3 == used.max()
 
@@ -95,6 +99,6 @@ def test_repeats_reach_the_cap_and_not_more(spark, frames):
 @needs
 def test_nothing_to_mix(spark, frames):
     docs, targets = frames
-    m = M.mix(docs.limit(0), targets)
+    m = M.mix(docs.limit(0), targets, TOKENIZER)
     assert m.blocks.count() == 0 and m.shares.count() == 6
-    assert M.mix(docs, targets.limit(0)).shares.count() == 0
+    assert M.mix(docs, targets.limit(0), TOKENIZER).shares.count() == 0
