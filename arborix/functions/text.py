@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,12 @@ def sqlite_like(c: Column | str, pattern: str) -> Column:
     return F.like(ascii_fold(c), F.lit(pattern.translate(str.maketrans(_UPPER, _UPPER.lower()))), F.lit("\x01"))
 
 
+def holds_text(c: Column | str, text: str) -> Column:
+    """LIKE '%text%' ESCAPE '\\': the text as it is, where % and _ stand for themselves; only ASCII case is folded."""
+    plain = re.sub(r"([\\%_])", r"\\\1", text).translate(str.maketrans(_UPPER, _UPPER.lower()))
+    return F.like(ascii_fold(c), F.lit(f"%{plain}%"), F.lit("\\"))
+
+
 def week_label(day: Column) -> Column:
     """Year and week as 2024-W05: weeks begin on Monday, days before the first Monday are week 00."""
     week = F.floor((F.dayofyear(day) + 6 - F.weekday(day)) / 7)
@@ -99,5 +107,24 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_")
 
 
+def safe_document_name(c: Column) -> Column:
+    """As safe_name(), but blanks stay; two dots, and a dot at either end, become "_", and so does a blank or null name."""
+    safe = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^A-Za-z0-9._ -]", "_"), r"\.\.", "_")
+    safe = F.regexp_replace(F.regexp_replace(safe, r"^\.", "_"), r"\.$", "_")
+    return F.when(F.trim(safe) == "", "_").otherwise(safe)
+
+
+def sql_value(c: Column) -> Column:
+    """A text as a value in SQL: NULL for null and blank, otherwise trimmed, in quotes, quotes inside doubled."""
+    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(c.isNull() | (trimmed == ""), "NULL").otherwise(F.concat(F.lit("'"), F.replace(trimmed, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
+def setting(c: Column, kind: str, default: bool | int) -> Column:
+    """A setting read as "boolean" ("true" and "false" alone) or "bigint"; the default where it is missing or cannot be read."""
+    read = F.when(c.isin("true", "false"), c == "true") if kind == "boolean" else c.try_cast(kind)
+    return F.coalesce(read, F.lit(default))
+
+
 def age_days(ts: Column, now: Column) -> Column:
     return (F.unix_timestamp(now) - F.unix_timestamp(ts)) / F.lit(86400.0)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborix.functions.text import base_name, parent_of
+from arborix.functions.text import ascii_fold, base_name, parent_of
 from arborix.operators.components import star_components
 from arborix.operators.duplicates import duplicate_files
+from arborix.operators.index import positions
+from arborix.runtime import materialize
 
 
 def duplicate_places(index: DataFrame) -> DataFrame:
@@ -16,11 +18,23 @@ def duplicate_places(index: DataFrame) -> DataFrame:
 
 
 def folder_components(places: DataFrame) -> DataFrame:
-    """folder, group: folders linked by shared hashes directly or through others; the group is its smallest folder."""
-    # folders sort before hashes, so the smallest node of a component is its smallest folder
-    edges = places.select(F.concat(F.lit("0"), F.col("folder")).alias("a"), F.concat(F.lit("1"), F.col("hash")).alias("b")).distinct()
+    """folder, group: folders linked by shared hashes directly or through others; the group is its smallest folder.
+
+    Every folder of a hash is linked with the smallest folder of that hash, which leaves no hashes in the graph. Folders
+    are numbered in their order, so the rounds move numbers and the smallest number of a component is its smallest folder.
+    """
+    uses = materialize(places.select("folder", "hash").distinct(), "uses")
+    least = uses.groupBy("hash").agg(F.min("folder").alias("least"))
+    numbers = uses.select("folder").distinct().orderBy("folder").withColumn("number", F.monotonically_increasing_id())
+    numbers = materialize(numbers, "folder-numbers")
+    # one row a hash and one row a folder on one side each, so AQE can split both joins
+    linked = uses.join(least, "hash").select("folder", "least").distinct().filter("folder <> least")
+    ends = linked.join(numbers.select("folder", F.col("number").alias("a")), "folder")
+    edges = ends.join(numbers.select(F.col("folder").alias("least"), F.col("number").alias("b")), "least").select("a", "b")
     nodes = star_components(edges)
-    return nodes.filter(F.startswith("node", F.lit("0"))).select(F.substring("node", 2, 2**31 - 1).alias("folder"), F.substring("root", 2, 2**31 - 1).alias("group"))
+    rooted = numbers.join(nodes.select(F.col("node").alias("number"), "root"), "number", "left").withColumn("root", F.coalesce("root", "number"))
+    names = numbers.join(nodes.select(F.col("root").alias("number")).distinct(), "number", "left_semi").select(F.col("number").alias("root"), F.col("folder").alias("group"))
+    return rooted.join(names, "root", "left").select("folder", F.coalesce("group", "folder").alias("group"))
 
 
 def folder_groups(places: DataFrame, components: DataFrame) -> DataFrame:
@@ -42,17 +56,15 @@ def folder_groups(places: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def numbered_groups(groups: DataFrame) -> DataFrame:
-    """Groups with a name group_1, group_2 ..., in order of a hash range and, inside it, of the smallest folder.
+    """Groups with a name group_1, group_2 ... in order of their ids; a distributed sort, no task sees all groups."""
+    names = positions(groups.select("group_id").distinct().orderBy("group_id"))
+    return groups.join(names.select("group_id", F.concat(F.lit("group_"), F.col("position").cast("string")).alias("group_name")), "group_id")
 
-    One row per group is ranked within its hash range and moved by the groups of the ranges before it, so no task sees
-    all groups.
-    """
-    placed = groups.select("group_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("group_id"), F.lit(256)))
-    inner = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("group_id")))
-    before = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    starts = before.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # 256 rows
-    names = inner.join(F.broadcast(starts), "bucket").select("group_id", F.concat(F.lit("group_"), (F.col("base") + F.col("rank")).cast("string")).alias("group_name"))
-    return groups.join(names, "group_id")
+
+def ordered_list(groups: DataFrame, by: str = "shared", descending: bool = True) -> DataFrame:
+    """A group list by shared (also for any unknown order), folders, name (ASCII case folded) or files, then by group."""
+    key = {"folders": F.col("folders"), "name": ascii_fold("first_name"), "files": F.col("files")}.get(by, F.col("shared_count"))
+    return groups.orderBy(key.desc() if descending else key.asc(), "group_id")
 
 
 def group_list(groups: DataFrame, text: str | None = None, min_shared: int = 0, min_folders: int = 2, min_size: int = 0) -> DataFrame:

@@ -11,14 +11,35 @@ from arborix.runtime import materialize
 COLUMNS = ["id", "path", "name", "size", "modified", "hash", "is_directory", "is_file", "is_symlink", "parent_path", "traversed", "traverse_error"]
 
 
-def current_index(files: DataFrame) -> DataFrame:
+def current_index(files: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The record of each path with the largest id, hashes cleaned; rows without a path are left out.
 
-    The latest record is picked by a combined aggregate, so a path recorded very often costs no more than others.
+    The latest record is picked by a combined aggregate, so a path recorded very often costs no more than others. Only the
+    named columns (all of COLUMNS if none are named) besides the path enter it, so only these are read and shuffled.
     """
-    rest = [c for c in COLUMNS if c != "path"]
-    latest = files.filter(F.col("path").isNotNull()).groupBy("path").agg(F.max_by(F.struct(*rest), F.coalesce("id", F.lit(-(2**63)))).alias("r"))
-    return latest.select("path", "r.*").withColumn("hash", clean_hash("hash")).select(*COLUMNS)
+    keep = [c for c in COLUMNS if c == "path" or columns is None or c in columns]
+    rest = [c for c in keep if c != "path"]
+    rows = files.filter(F.col("path").isNotNull()).groupBy("path")
+    if not rest:
+        return rows.agg().select("path")
+    latest = rows.agg(F.max_by(F.struct(*rest), F.coalesce("id", F.lit(-(2**63)))).alias("r")).select("path", "r.*")
+    return (latest.withColumn("hash", clean_hash("hash")) if "hash" in rest else latest).select(*keep)
+
+
+def with_names(files: DataFrame, names: DataFrame, name_id: str = "file_name_id", name: str = "dictionary_name") -> DataFrame:
+    """files with the name that their name id has in the dictionary; rows without one are left out.
+
+    names has unique ids, so AQE can split the join at a name that very many files have.
+    """
+    return files.join(names.select(F.col("id").alias(name_id), F.col("name").alias(name)), name_id)
+
+
+def name_dictionary(names: DataFrame, new: DataFrame, name: str = "name") -> DataFrame:
+    """The dictionary (id, name) with the names it lacks, numbered on from its largest id in order of the names."""
+    first = names.agg(F.coalesce(F.max("id"), F.lit(0)).alias("first"))
+    fresh = new.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct().join(names.select("name"), "name", "left_anti")
+    numbered = positions(fresh.orderBy("name")).crossJoin(F.broadcast(first))  # one row
+    return names.select("id", "name").unionByName(numbered.select((F.col("first") + F.col("position")).alias("id"), "name"))
 
 
 def kind_filter(target: str) -> Column:

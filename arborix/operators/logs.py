@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborix.functions.text import sqlite_like
+from arborix.functions.text import ascii_fold, holds_text, sqlite_like
 
 LINE = r"^\[(\d{9,11})\] (DEBUG|INFO|WARN|ERROR) (.*)$"
 
@@ -34,9 +34,26 @@ def level_counts(logs: DataFrame) -> DataFrame:
 
 
 def rule_events(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows whose message names a rule as via rule 'name': rule, events; rules without any have 0."""
-    named = logs.select(F.regexp_extract("message", r"via rule '([^']*)'", 1).alias("rule")).filter("rule <> ''").groupBy("rule").agg(F.count(F.lit(1)).alias("events"))
-    return rules.select("rule").distinct().join(named, "rule", "left").select("rule", F.coalesce("events", F.lit(0)).alias("events"))
+    """Rows whose message names a rule as via rule 'name': rule, events; rules without any have 0.
+
+    Names are compared as they are written, % and _ included, in any ASCII case; null rules are left out. Messages are
+    cut once, so any number of rules costs one pass.
+    """
+    named = logs.select(ascii_fold(F.regexp_extract("message", r"(?i)via rule '([^']*)'", 1)).alias("folded")).filter("folded <> ''").groupBy("folded").agg(F.count(F.lit(1)).alias("n"))
+    known = rules.select("rule").filter("rule IS NOT NULL").distinct().withColumn("folded", ascii_fold("rule"))
+    return known.join(named, "folded", "left").select("rule", F.coalesce("n", F.lit(0)).alias("events"))
+
+
+def text_counts(logs: DataFrame, texts: list[str]) -> DataFrame:
+    """For each of a few texts the rows whose message holds it as it is written (LIKE with an escape character)."""
+    counts = logs.agg(*[F.count_if(holds_text("message", t)).alias(f"n{i}") for i, t in enumerate(texts)])
+    pairs = F.array(*[F.struct(F.lit(t).alias("text"), F.col(f"n{i}").alias("n")) for i, t in enumerate(texts)])
+    return counts.select(F.inline(pairs)) if texts else logs.sparkSession.createDataFrame([], "text string, n long")
+
+
+def process_page(logs: DataFrame, process: int, most: int = 1000) -> DataFrame:
+    """The latest rows of one process, at most so many."""
+    return logs.filter(F.col("process_id") == process).orderBy(F.desc("timestamp"), "id").limit(most)
 
 
 def lines_of(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,3 +79,10 @@ def enriched(logs: DataFrame, index: DataFrame) -> DataFrame:
     per = index.filter("is_file").groupBy(F.col("parent_path").alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     rows = logs.withColumn("folder", F.when(F.startswith("message", F.lit("Indexed '")), quoted_path()))
     return rows.join(per, "folder", "left")
+
+
+def listed_files(logs: DataFrame, index: DataFrame) -> DataFrame:
+    """The files directly in the folders that INFO rows "Indexed '…'" name, as rows: folder, path, name, size."""
+    folders = indexed_paths(logs).select(F.col("path").alias("folder"))
+    files = index.filter("is_file").select(F.col("parent_path").alias("folder"), "path", "name", "size")
+    return files.join(folders, "folder", "left_semi")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborix.functions.text import base_name, is_under, parent_of
+from arborix.functions.text import is_under, parent_of
 from arborix.runtime import materialize
 
 # Names of files that say nothing about a folder.
@@ -15,7 +16,8 @@ NOISE_NAMES = [".DS_Store", "Thumbs.db", "desktop.ini", ".gitkeep", "package-loc
 MIN_SIMILARITY = 0.8
 MIN_FILES = 2
 PERMUTATIONS = 64
-BANDS = 8
+#: Bands of four rows: a pair at the limit of 0.8 shares one with a probability of 0.9998.
+BANDS = 16
 
 
 def folder_tokens(index: DataFrame) -> DataFrame:
@@ -37,21 +39,68 @@ def _with_similarity(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame) -> D
     return out.select(F.col("a").alias("folder_a"), F.col("b").alias("folder_b"), (F.col("shared_files") / union).alias("similarity"), "shared_files", union.alias("union_files"))
 
 
-def exact_pairs(tokens: DataFrame, min_similarity: float = MIN_SIMILARITY, min_files: int = MIN_FILES) -> DataFrame:
-    """All pairs of folders with Jaccard similarity >= min_similarity, by prefix filtering; nothing is capped.
+class FolderClasses(NamedTuple):
+    """Folders with equal token sets as classes, for joins that never compare copies with each other."""
 
-    Tokens of a folder are ordered from rare to frequent. Two similar folders share one of the first n - ceil(t n) + 1
-    tokens of each, so only those are joined, and frequent tokens hardly ever are.
-    """
-    sizes = folder_sizes(tokens, min_files)
+    #: cls (the smallest folder), n, tokens from rare to frequent, folders
+    classes: DataFrame
+    #: folder, cls
+    members: DataFrame
+
+
+def folder_classes(tokens: DataFrame, min_files: int = MIN_FILES) -> FolderClasses:
+    """Classes of folders with at least min_files tokens and the same tokens."""
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(frequency, "token").groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    ranked = ranked.select("folder", F.size("t").cast("long").alias("n"), "t").filter(F.col("n") >= min_files)
+    ranked = materialize(ranked.filter(F.size("t") >= min_files).select("folder", F.col("t")["token"].alias("tokens")), "token-sets")
+    classes = ranked.groupBy("tokens").agg(F.min("folder").alias("cls"), F.count(F.lit(1)).alias("folders"))
+    classes = materialize(classes.select("cls", F.size("tokens").cast("long").alias("n"), "tokens", "folders"), "classes")
+    single = classes.filter("folders = 1").select(F.col("cls").alias("folder"), "cls")
+    copies = ranked.join(classes.filter("folders > 1").select("tokens", "cls"), "tokens").select("folder", "cls")
+    return FolderClasses(classes, materialize(single.unionByName(copies), "members"))
+
+
+def class_pairs(classes: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """Pairs of classes with Jaccard similarity >= min_similarity, by prefix filtering; nothing is capped.
+
+    Two similar sets share one of the first n - ceil(t n) + 1 tokens of each in one order of all tokens, rare ones first,
+    so only those are joined, and frequent tokens hardly ever are. A pair meets at its first common prefix token only.
+    Columns: folder_a < folder_b (the classes), similarity, shared_files, union_files.
+    """
     keep = (F.col("n") - F.ceil(F.col("n") * min_similarity - 1e-9) + 1).cast("int")
-    prefix = materialize(ranked.select("folder", "n", F.explode(F.slice("t", F.lit(1), keep)["token"]).alias("token")), "prefixes")
-    b = prefix.select(F.col("folder").alias("b"), F.col("n").alias("nb"), "token")
-    near = prefix.withColumnRenamed("folder", "a").join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("n", "nb") >= F.lit(min_similarity) * F.greatest("n", "nb") - 1e-9))
-    return _with_similarity(near.select("a", "b").distinct(), tokens, sizes).filter(F.col("similarity") >= min_similarity)
+    prefix = classes.select("cls", "n", F.slice("tokens", F.lit(1), keep).alias("head"))
+    prefix = materialize(prefix.select("cls", "n", F.explode("head").alias("token")), "prefixes")
+    other = prefix.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "token")
+    near = prefix.withColumnRenamed("cls", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.least("n", "nb") >= F.lit(min_similarity) * F.greatest("n", "nb") - 1e-9))
+    sets = classes.select("cls", "n", "tokens")
+    left = near.select("a", "b").distinct().join(sets.toDF("a", "na", "ta"), "a")
+    both = left.join(sets.toDF("b", "nb", "tb"), "b").withColumn("shared_files", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    union = F.col("na") + F.col("nb") - F.col("shared_files")
+    out = both.select(F.col("a").alias("folder_a"), F.col("b").alias("folder_b"), (F.col("shared_files") / union).alias("similarity"), "shared_files", union.alias("union_files"))
+    return out.filter(F.col("similarity") >= min_similarity)
+
+
+def folder_links(found: FolderClasses, pairs: DataFrame) -> DataFrame:
+    """One row per folder with its class and the number of folders it is similar to, copies included: folder, cls, links."""
+    sizes = found.classes.select("cls", "folders")
+    ends = pairs.select(F.col("folder_a").alias("cls"), F.col("folder_b").alias("o")).unionByName(pairs.select(F.col("folder_b").alias("cls"), F.col("folder_a").alias("o")))
+    outside = ends.join(sizes.toDF("o", "m"), "o").groupBy("cls").agg(F.sum("m").alias("outside"))
+    links = sizes.join(outside, "cls", "left").select("cls", (F.col("folders") - 1 + F.coalesce("outside", F.lit(0))).alias("links"))
+    return found.members.join(links, "cls").select("folder", "cls", "links")
+
+
+def exact_pairs(tokens: DataFrame, min_similarity: float = MIN_SIMILARITY, min_files: int = MIN_FILES) -> DataFrame:
+    """All pairs of folders with Jaccard similarity >= min_similarity, copies expanded into pairs in a last join.
+
+    Where folders have very many copies, class_pairs() with folder_links() says the same in one row a folder.
+    """
+    found = folder_classes(tokens, min_files)
+    m, figures = found.members, ["similarity", "shared_files", "union_files"]
+    pairs = class_pairs(found.classes, min_similarity)
+    across = pairs.join(m.toDF("x", "folder_a"), "folder_a").join(m.toDF("y", "folder_b"), "folder_b").select("x", "y", *figures)
+    equal = found.classes.filter("folders > 1").select("cls", F.lit(1.0).alias("similarity"), F.col("n").alias("shared_files"), F.col("n").alias("union_files"))
+    within = equal.join(m.toDF("x", "cls"), "cls").join(m.toDF("y", "cls"), "cls").filter("x < y").select("x", "y", *figures)
+    return across.unionByName(within).select(F.least("x", "y").alias("folder_a"), F.greatest("x", "y").alias("folder_b"), *figures)
 
 
 def minhash(tokens: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
@@ -61,7 +110,7 @@ def minhash(tokens: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
 
 
 def sketched_pairs(tokens: DataFrame, min_similarity: float = MIN_SIMILARITY, min_files: int = MIN_FILES, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
-    """Pairs that share a band of their MinHash signatures, verified exactly: fast, and complete only far above the limit."""
+    """Pairs that share a band of their MinHash signatures, verified exactly; a pair at the limit is missed with a probability of 0.0002."""
     sizes = folder_sizes(tokens, min_files)
     rows = max(1, permutations // bands)
     signed = minhash(tokens.join(sizes.select("folder"), "folder", "left_semi"), permutations).join(sizes, "folder")
@@ -148,6 +197,3 @@ def delta_summary(delta: DataFrame) -> DataFrame:
     kinds = ["only_a", "only_b", "changed", "identical"]
     return delta.groupBy("folder_a", "folder_b").agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds])
 
-
-def named(tokens: DataFrame) -> DataFrame:
-    return folder_sizes(tokens, 1).select("folder", base_name("folder").alias("name"), "n")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborix.functions.text import is_under
 from arborix.operators.tree import subtree
 
+#: Rules that are broadcast.
+FEW_RULES = 10_000
 VALUES = ["name", "size", "modified", "hash", "is_directory", "is_file", "is_symlink", "parent_path"]
 
 
@@ -77,16 +82,55 @@ def added_hashes(stored: DataFrame, index: DataFrame, checked: DataFrame) -> Dat
 
 def ignored_folders(index: DataFrame, rules: DataFrame) -> DataFrame:
     """Directories that a rule (name, condition) leaves out: the name is equal, and the condition, if any, is the name of
-    an entry beside the directory. rules is a settings list of checked size."""
-    if len(rules.limit(10_001).collect()) > 10_000:
-        raise ValueError("more than 10000 rules")
-    hits = index.filter("is_directory").select("path", "parent_path", "name").join(F.broadcast(rules.withColumnRenamed("name", "rule")), F.col("name") == F.col("rule"))
+    an entry beside the directory. A list of at most FEW_RULES rules is broadcast, a longer one is joined."""
+    few = len(rules.limit(FEW_RULES + 1).collect()) <= FEW_RULES
+    named = rules.withColumnRenamed("name", "rule")
+    hits = index.filter("is_directory").select("path", "parent_path", "name").join(F.broadcast(named) if few else named, F.col("name") == F.col("rule"))
     beside = index.select(F.col("parent_path").alias("p"), F.col("name").alias("n")).distinct()
     free = hits.filter("condition IS NULL").select("path", "rule", "condition")
     bound = hits.filter("condition IS NOT NULL").join(beside, (F.col("parent_path") == F.col("p")) & (F.col("condition") == F.col("n")), "left_semi")
     return free.unionByName(bound.select("path", "rule", "condition"))
 
 
+def resync_request(paths: list[str], remove: list[str], top: str) -> tuple[list[str], list[str]]:
+    """Folders to read again and folders to remove, without trailing slashes and each once; a ValueError for a bad request.
+
+    Every path lies below top (top itself included), and nothing is read again that is removed, or lies below what is.
+    Nothing asked for means all of top.
+    """
+
+    def checked(raw: str) -> str:
+        path = raw.strip().rstrip("/")
+        if not path:
+            raise ValueError("empty path")
+        if path != top.rstrip("/") and not path.startswith(top.rstrip("/") + "/"):
+            raise ValueError(f"{path} is not below {top}")
+        return path
+
+    again, gone = (list(dict.fromkeys(map(checked, x))) for x in (paths, remove))
+    for r in gone:
+        if any(p == r or p.startswith(r + "/") for p in again):
+            raise ValueError(f"{r} cannot be both removed and read again")
+    return again if again or gone else [top.rstrip("/")], gone
+
+
+def resynced(stored: DataFrame, listed: DataFrame, paths: list[str], remove: list[str], top: str = "/") -> DataFrame:
+    """stored after a targeted refresh: as upsert(), but only entries at or below the paths come from the listing.
+
+    Entries there that the listing lacks go, as do the removed folders with all below them, whether listed or not. All
+    other rows stay. listed is the listing of the paths; its rows elsewhere are ignored.
+    """
+    again, gone = resync_request(paths, remove, top)
+
+    def below(roots: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, (is_under(F.lit(r), F.col("path")) for r in roots), F.lit(False))
+
+    fresh = listed.filter(below(again) & ~below(gone))
+    kept = stored.filter(~below(gone))
+    stale = kept.filter(below(again)).select("path").join(fresh.select("path"), "path", "left_anti")
+    return upsert(kept.join(stale, "path", "left_anti"), fresh)
+
+
 def parsed_rules(lines: DataFrame, column: str = "line") -> DataFrame:
     """Rules from lines "name" or "name:condition"; blank lines give none."""
     parts = F.split(F.trim(column), ":", 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +96,44 @@ def list_delta(stored: DataFrame, listed: DataFrame, order: list[str]) -> DataFr
     """What a growing list holds beyond the number of rows stored, in its order: nothing if it did not grow."""
     known = stored.count()
     return listed.orderBy(*order).offset(known) if listed.count() > known else listed.limit(0)
+
+
+def not_failed(df: DataFrame, status: str = "status", failed: str = "failed") -> DataFrame:
+    """Rows whose status is there and is not the failed one."""
+    return df.filter(F.col(status) != failed)
+
+
+def store_stats(df: DataFrame, key: str, status: str, is_open: str, order: str) -> DataFrame:
+    """One row: rows, different keys, rows of a status, largest order."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys"), F.count_if(F.col(status) == is_open).alias("open"), F.max(order).alias("newest"))
+
+
+def newest_archived(df: DataFrame, key: str, run_stamp: str = "run_stamp", sequence: str = "sequence") -> DataFrame:
+    """The archived row of each key that is last by run stamp, compared as text, then by sequence."""
+    return latest(df, key, [run_stamp, sequence])
+
+
+def context(*tables: DataFrame) -> DataFrame:
+    """The different rows of several state tables with the same columns."""
+    return reduce(DataFrame.unionByName, tables).distinct()
+
+
+def set_settings(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Settings (key, value) with the values of new; of several new values of a key the largest is taken, null keys are left out."""
+    latest_ = new.filter("key IS NOT NULL").groupBy("key").agg(F.max("value").alias("value"))
+    return stored.select("key", "value").join(latest_, "key", "left_anti").unionByName(latest_)
+
+
+def by_run_stamp(df: DataFrame, name: str = "name") -> DataFrame:
+    """df with run_stamp, the first 15 characters of the name where these are a date, "_" and a time; null elsewhere."""
+    stamp = F.regexp_extract(name, r"^(\d{8}_\d{6})", 1)
+    return df.withColumn("run_stamp", F.nullif(stamp, F.lit("")))
+
+
+def still_to_do(todo: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """What a run that was cut short still has to do: keys without an outcome, and those whose last attempt failed.
+
+    outcomes has the key, attempt and status; done is what does not have to be done again.
+    """
+    last = latest(outcomes.select(key, "attempt", "status"), key, ["attempt", "status"])
+    return todo.join(last.filter("status = 'done'").select(key), key, "left_anti")

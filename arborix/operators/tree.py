@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborix.functions.text import base_name, path_depth
+from arborix.functions.text import path_depth
 from arborix.operators.duplicates import duplicate_hashes
 from arborix.runtime import materialize, release
 
@@ -80,7 +80,3 @@ def common_root(paths: DataFrame, group: str, path: str) -> DataFrame:
     differs = F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False)
     n = F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise(differs - 1).cast("int")
     return ends.select(group, F.array_join(F.slice(a, F.lit(1), n), "/").alias("root"))
-
-
-def entry_names(index: DataFrame) -> DataFrame:
-    return index.select("path", base_name("path").alias("name"))

@@ -34,18 +34,21 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-def idx(spark: SparkSession, sf: str) -> DataFrame:
-    return index.current_index(load(spark, sf, "files"))
+def idx(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The current index, only with the named columns besides the path if any are named."""
+    return index.current_index(load(spark, sf, "files"), list(columns) or None)
 
 
 # --- search, sorting, paging
 
 
-@query(f"WITH {IDX} SELECT count(*) AS rows, count(hash) AS hashed, CAST(sum(id) AS BIGINT) AS ids, count(DISTINCT parent_path) AS parents FROM idx")
+_COLUMNS = ", ".join(index.COLUMNS)
+
+
+@query(f"WITH {IDX} SELECT {_COLUMNS} FROM idx")
 def current_index(spark, sf):
-    """Rows, hashes and ids of the current index: the latest record of each path."""
-    i = idx(spark, sf)
-    return i.agg(F.count(F.lit(1)).alias("rows"), F.count("hash").alias("hashed"), F.sum("id").alias("ids"), F.countDistinct("parent_path").alias("parents"))
+    """The current index: the latest record of each path."""
+    return idx(spark, sf)
 
 
 def _search(name: str, text: str, pattern: str, target: str, where: str) -> None:
@@ -53,7 +56,7 @@ def _search(name: str, text: str, pattern: str, target: str, where: str) -> None
 
     @query(f"WITH {IDX} SELECT path, name, size FROM idx WHERE {FOLD.format('name')} LIKE '{like.lower()}' AND {where}", name)
     def run(spark, sf):
-        return index.search(idx(spark, sf), text, pattern, target).select("path", "name", "size")
+        return index.search(idx(spark, sf, "name", "size", "is_directory", "is_file"), text, pattern, target).select("path", "name", "size")
 
     run.__doc__ = f"Name search: {pattern} '{text}' among {target}; links count as files and as folders, not as both."
 
@@ -67,7 +70,7 @@ _search("search_contains", "IN_OI", "contains", "files", "(NOT is_directory OR i
 @query(f"WITH {IDX} SELECT path, size FROM idx WHERE {FOLD.format('name')} LIKE '%.jpg' AND (NOT is_directory OR is_file) ORDER BY size DESC NULLS LAST, path LIMIT 50 OFFSET 50")
 def search_page(spark, sf):
     """The second page of fifty of a search, largest first."""
-    found = index.search(idx(spark, sf), ".jpg", "ends", "files").select("path", "size")
+    found = index.search(idx(spark, sf, "name", "size", "is_directory", "is_file"), ".jpg", "ends", "files").select("path", "size")
     return index.page(index.ordered(found, "size", True, ["path"]), 2, 50)
 
 
@@ -75,7 +78,7 @@ def search_page(spark, sf):
        "WHERE CASE target WHEN 'files' THEN NOT is_directory OR is_file WHEN 'folders' THEN is_directory OR NOT is_file ELSE is_directory OR is_file END GROUP BY target")
 def search_totals(spark, sf):
     """Totals and pages of the empty search, by target, with the predicate that its pages use."""
-    i = idx(spark, sf)
+    i = idx(spark, sf, "is_directory", "is_file")
     kinds = F.array(*[F.when(index.kind_filter(t), F.lit(t)) for t in ("files", "folders", "both")])
     per = i.select(F.explode(kinds).alias("target")).filter("target IS NOT NULL").groupBy("target").agg(F.count(F.lit(1)).alias("total"))
     return per.withColumn("pages", index.page_count(F.col("total"), 50))
@@ -84,31 +87,31 @@ def search_totals(spark, sf):
 @query(f"WITH {IDX} SELECT path FROM idx WHERE contains(lower(path), 'übersicht')")
 def search_path(spark, sf):
     """Paths that hold a text in any case."""
-    return index.path_search(idx(spark, sf), "Übersicht").select("path")
+    return index.path_search(idx(spark, sf, "id"), "Übersicht").select("path")
 
 
 @query(f"WITH {IDX} SELECT path, name FROM idx ORDER BY lower(name), name, path LIMIT 100")
 def listing_folded(spark, sf):
     """The first hundred entries of the listing by name in lower case."""
-    return index.listing(idx(spark, sf), "folded").select("path", "name").limit(100)
+    return index.listing(idx(spark, sf, "name"), "folded").select("path", "name").limit(100)
 
 
 @query(f"WITH {IDX} SELECT path, row_number() OVER (ORDER BY lower(name) NULLS FIRST, name NULLS FIRST, path) AS position FROM idx")
 def listing_folded_all(spark, sf):
     """The whole listing by name in lower case: every entry with its position."""
-    return index.positions(index.listing(idx(spark, sf), "folded").select("path"))
+    return index.positions(index.listing(idx(spark, sf, "name"), "folded").select("path"))
 
 
 @query(f"WITH {IDX} SELECT path, row_number() OVER (ORDER BY name NULLS FIRST, path) AS position FROM idx")
 def listing_cased_all(spark, sf):
     """The whole listing by name: every entry with its position."""
-    return index.positions(index.listing(idx(spark, sf), "cased").select("path"))
+    return index.positions(index.listing(idx(spark, sf, "name"), "cased").select("path"))
 
 
 @query(f"WITH {IDX} SELECT path, row_number() OVER (ORDER BY is_directory NULLS FIRST, is_file NULLS FIRST, is_symlink NULLS FIRST, path) AS position FROM idx")
 def listing_default_all(spark, sf):
     """The whole listing by kind, then path: every entry with its position."""
-    return index.positions(index.listing(idx(spark, sf), "default").select("path"))
+    return index.positions(index.listing(idx(spark, sf, "is_directory", "is_file", "is_symlink"), "default").select("path"))
 
 
 @query(f"""WITH {IDX} SELECT path, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS extension, length(path) - length(replace(path, '/', '')) AS depth,
@@ -116,16 +119,26 @@ def listing_default_all(spark, sf):
   replace(printf('%.2f', coalesce(size, 0) / 4.0::DOUBLE), '.', ',') AS quarter FROM idx""")
 def path_functions(spark, sf):
     """Extension, depth, safe name, parent, base name and a number in German form for every entry."""
-    return idx(spark, sf).select(
+    return idx(spark, sf, "name", "size").select(
         "path", T.extension("name").alias("extension"), T.path_depth("path").alias("depth"), T.safe_name(F.col("name")).alias("safe"), T.parent_of("path").alias("parent"),
         T.base_name("path").alias("base"), T.german_number(F.coalesce("size", F.lit(0)) / 4.0).alias("quarter"),
     )
 
 
-@query()
+_SIZE = "CASE WHEN size IS NULL THEN NULL " + " ".join(
+    f"WHEN abs(size) >= {1024**p}::DOUBLE THEN regexp_replace(printf('%.2f', round(size / {1024**p}::DOUBLE, 2)), '\\.?0+$', '') || ' {u}'" for p, u in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB", "PB"])))
+) + " ELSE '0 B' END"
+
+
+def _short_sql(keep: int) -> str:
+    parts = "string_split(path, '/')"
+    return f"CASE WHEN len({parts}) > {keep} THEN '…/' || array_to_string({parts}[-{keep}:], '/') ELSE path END"
+
+
+@query(f"WITH {IDX} SELECT path, {_SIZE} AS size_label, {_short_sql(3)} AS short_path, {_short_sql(2)} AS shorter_path FROM idx")
 def size_labels(spark, sf):
-    """Human sizes and shortened paths of every entry."""
-    return idx(spark, sf).select("path", T.human_size("size").alias("size_label"), T.short_path("path").alias("short_path"))
+    """Human sizes and paths cut to their last three and two parts, of every entry."""
+    return idx(spark, sf, "size").select("path", T.human_size("size").alias("size_label"), T.short_path("path").alias("short_path"), T.short_path("path", 2).alias("shorter_path"))
 
 
 def _kinds_sql() -> str:
@@ -139,7 +152,7 @@ def file_kinds(spark, sf):
     kind = F.lit("other")
     for name, members in reversed(file_source.FILE_KINDS.items()):
         kind = F.when(ext.isin(members), F.lit(name)).otherwise(kind)
-    return idx(spark, sf).filter("is_file").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return idx(spark, sf, "name", "size", "is_file").filter("is_file").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 @query(f"""WITH {IDX}, x AS (SELECT lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS e FROM idx WHERE is_file)
@@ -147,7 +160,7 @@ SELECT CASE WHEN e IN ({', '.join(repr(x) for x in file_source.TEXT_EXTENSIONS)}
  ELSE 'application/octet-stream' END AS media_type, count(*) AS files FROM x GROUP BY 1""")
 def media_types(spark, sf):
     """Files by media type."""
-    return idx(spark, sf).filter("is_file").groupBy(file_source.media_type(T.extension("name")).alias("media_type")).agg(F.count(F.lit(1)).alias("files"))
+    return idx(spark, sf, "name", "is_file").filter("is_file").groupBy(file_source.media_type(T.extension("name")).alias("media_type")).agg(F.count(F.lit(1)).alias("files"))
 
 
 # --- exact duplicates
@@ -156,13 +169,13 @@ def media_types(spark, sf):
 @query(f"WITH {IDX}, {DUP} SELECT hash FROM dup")
 def dup_hashes(spark, sf):
     """Hashes of more than one path."""
-    return duplicates.duplicate_hashes(idx(spark, sf))
+    return duplicates.duplicate_hashes(idx(spark, sf, "hash"))
 
 
 @query(f"WITH {IDX}, {DUP} SELECT path, hash, size FROM idx WHERE hash IN (SELECT hash FROM dup)")
 def dup_files(spark, sf):
     """Every entry with a duplicate hash, links included."""
-    return duplicates.duplicate_files(idx(spark, sf)).select("path", "hash", "size")
+    return duplicates.duplicate_files(idx(spark, sf, "hash", "size")).select("path", "hash", "size")
 
 
 _GROUPS = "g AS (SELECT hash, count(*) AS copies, min(size) AS size, min(path) AS first_path, (count(*) - 1) * coalesce(min(size), 0) AS wasted_bytes FROM idx WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1)"
@@ -171,13 +184,13 @@ _GROUPS = "g AS (SELECT hash, count(*) AS copies, min(size) AS size, min(path) A
 @query(f"WITH {IDX}, {_GROUPS} SELECT * FROM g")
 def dup_groups_wasted(spark, sf):
     """Duplicate groups with copies, size and wasted bytes."""
-    return duplicates.duplicate_groups(idx(spark, sf))
+    return duplicates.duplicate_groups(idx(spark, sf, "hash", "size"))
 
 
 @query(f"WITH {IDX}, {_GROUPS} SELECT * FROM g ORDER BY wasted_bytes DESC, hash LIMIT 50")
 def dup_groups_page(spark, sf):
     """The first page of duplicate groups, most wasted bytes first."""
-    groups = duplicates.duplicate_groups(idx(spark, sf))
+    groups = duplicates.duplicate_groups(idx(spark, sf, "hash", "size"))
     return index.page(index.ordered(groups, "wasted_bytes", True, ["hash"], ("wasted_bytes", "size", "copies", "hash")), 1, 50)
 
 
@@ -186,7 +199,7 @@ HAVING count(*) > 1 AND bool_or(contains(lower(name), 'invoice') OR contains(low
    AND bool_or(lower(regexp_extract(name, '\\.([^.]*)$', 1)) IN ('pdf', 'docx', 'csv'))""")
 def dup_groups_filtered(spark, sf):
     """Duplicate groups with a member for each of three conditions: text, least size, extension."""
-    return duplicates.filtered_groups(idx(spark, sf), "Invoice", 1000, ["pdf", "docx", "csv"])
+    return duplicates.filtered_groups(idx(spark, sf, "hash", "size", "name"), "Invoice", 1000, ["pdf", "docx", "csv"])
 
 
 _STATS = "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicates, count(*) AS groups, CAST(coalesce(sum((n - 1) * size), 0) AS BIGINT) AS wasted_bytes FROM (SELECT hash, count(*) AS n, min(size) AS size FROM idx WHERE {} AND hash IN (SELECT hash FROM dup) GROUP BY hash)"
@@ -195,38 +208,38 @@ _STATS = "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicates, count(*) AS
 @query(f"WITH {IDX}, {DUP} {_STATS.format('is_file')}")
 def dup_stats(spark, sf):
     """Duplicate files, groups and wasted bytes."""
-    return duplicates.duplicate_stats(idx(spark, sf))
+    return duplicates.duplicate_stats(idx(spark, sf, "hash", "size", "is_file"))
 
 
 @query(f"WITH {IDX}, {DUP} {_STATS.format('is_directory')}")
 def dup_folder_stats(spark, sf):
     """The same for directories, which have no hash: all zero."""
-    return duplicates.duplicate_stats(idx(spark, sf), "is_directory")
+    return duplicates.duplicate_stats(idx(spark, sf, "hash", "size", "is_directory"), "is_directory")
 
 
 @query(f"WITH {IDX} SELECT coalesce(hash, '<no hash>') AS hash, count(*) AS n, min(path) AS first_path FROM idx GROUP BY 1")
 def entries_by_hash(spark, sf):
     """Entries by hash, those without one together."""
-    return duplicates.by_hash(idx(spark, sf))
+    return duplicates.by_hash(idx(spark, sf, "hash"))
 
 
 @query(f"WITH {IDX} SELECT parent_path, name, path, size, hash, hash IS NOT NULL AND hash IN (SELECT hash FROM duplicate_hashes) AS is_duplicate FROM idx WHERE is_file")
 def folder_files_flagged(spark, sf):
     """All files with a flag from the stored list of duplicate hashes."""
-    return duplicates.flagged_files(idx(spark, sf), load(spark, sf, "duplicate_hashes"))
+    return duplicates.flagged_files(idx(spark, sf, "parent_path", "name", "size", "hash", "is_file"), load(spark, sf, "duplicate_hashes"))
 
 
 @query(f"WITH {IDX}, {DUP} SELECT DISTINCT lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS extension FROM idx WHERE is_file AND hash IN (SELECT hash FROM dup) AND strlen(lower(regexp_extract(name, '\\.([^.]*)$', 1))) BETWEEN 1 AND 16")
 def extensions_of_duplicates(spark, sf):
     """Extensions of duplicate files."""
-    return duplicates.duplicate_extensions(idx(spark, sf))
+    return duplicates.duplicate_extensions(idx(spark, sf, "hash", "name", "is_file"))
 
 
 @query(f"""WITH {IDX}, r AS (SELECT * FROM idx WHERE is_file AND hash IS NOT NULL AND parent_path IN ('/mnt/vol-000', '/mnt/vol-001'))
 SELECT hash, count(*) AS files, min(name) AS first_name, arg_max(name, path) FILTER (parent_path = '/mnt/vol-000') AS folder_0, arg_max(name, path) FILTER (parent_path = '/mnt/vol-001') AS folder_1 FROM r GROUP BY hash""")
 def aligned_compare(spark, sf):
     """Two folders side by side, by hash."""
-    return duplicates.aligned(idx(spark, sf), ["/mnt/vol-000", "/mnt/vol-001"])
+    return duplicates.aligned(idx(spark, sf, "hash", "name", "is_file", "parent_path"), ["/mnt/vol-000", "/mnt/vol-001"])
 
 
 # --- groups of folders
@@ -246,7 +259,7 @@ FROM m JOIN pf USING (folder) LEFT JOIN sh USING ("group") WHERE folders > 1"""
 
 
 def _components(spark, sf):
-    places = materialize(folders.duplicate_places(idx(spark, sf)), "places")
+    places = materialize(folders.duplicate_places(idx(spark, sf, "hash", "size", "is_directory")), "places")
     return places, materialize(folders.folder_components(places), "components")
 
 
@@ -262,7 +275,7 @@ def folder_groups(spark, sf):
     return folders.folder_groups(*_components(spark, sf))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PLACES}, {_GROUPS_SQL}, g AS (WITH {_GROUP_ROWS}) SELECT *, 'group_' || dense_rank() OVER (ORDER BY group_id) AS group_name FROM g")
 def folder_groups_named(spark, sf):
     """The same groups with numbered names."""
     return folders.numbered_groups(folders.folder_groups(*_components(spark, sf)))
@@ -276,7 +289,7 @@ def folder_groups_incremental(spark, sf):
     before = first.groupBy("path").agg(F.min_by(F.struct(*rest), "id").alias("r")).select("path", "r.*").withColumn("hash", T.clean_hash("hash")).select(*index.COLUMNS)
     old_places = materialize(folders.duplicate_places(before), "old-places")
     old = materialize(folders.folder_components(old_places), "old")
-    now = materialize(idx(spark, sf), "now")
+    now = materialize(idx(spark, sf, "hash", "size", "is_directory"), "now")
     places = materialize(folders.duplicate_places(now), "places")
     # a changed hash moves its own folder and every folder whose file became, or stopped being, a duplicate with it
     changed = places.select("folder", "hash").exceptAll(old_places.select("folder", "hash")).unionByName(old_places.select("folder", "hash").exceptAll(places.select("folder", "hash")))
@@ -312,7 +325,7 @@ pairs AS (SELECT fa AS folder_a, fb AS folder_b, shared AS shared_files, x.n + y
 
 
 def _tokens(spark, sf):
-    return materialize(neardup.folder_tokens(idx(spark, sf)), "tokens")
+    return materialize(neardup.folder_tokens(idx(spark, sf, "hash", "name", "size", "is_file", "parent_path")), "tokens")
 
 
 @query(f"WITH {_TOK} SELECT folder, n FROM n")
@@ -327,17 +340,33 @@ def near_dup_pairs(spark, sf):
     return neardup.near_duplicates(_tokens(spark, sf), "exact").withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
 def near_dup_sketched(spark, sf):
     """Pairs found through MinHash bands of four rows, verified exactly."""
-    return neardup.near_duplicates(_tokens(spark, sf), "sketched", bands=16)
+    return neardup.near_duplicates(_tokens(spark, sf), "sketched").withColumn("similarity", F.round("similarity", 9))
+
 
+@query(f"""WITH {_PAIRS}, ends AS (SELECT folder_a AS f FROM pairs UNION ALL SELECT folder_b FROM pairs), links AS (SELECT f, count(*) AS links FROM ends GROUP BY 1),
+s AS (SELECT folder, list_sort(list(token)) AS s FROM t2 GROUP BY 1 HAVING count(*) >= 2)
+SELECT folder, min(folder) OVER (PARTITION BY s) AS cls, coalesce(links, 0) AS links FROM s LEFT JOIN links ON f = folder""")
+def near_dup_links(spark, sf):
+    """Each folder of at least two tokens with its class of equal folders and the number of folders it is similar to."""
+    found = neardup.folder_classes(_tokens(spark, sf))
+    return neardup.folder_links(found, neardup.class_pairs(found.classes))
 
-@query()
+
+_COLLAPSED = _PAIRS.replace("pairs AS (", "every AS (", 1).replace(" WHERE x.n >= 2 AND y.n >= 2 AND shared", " WHERE shared") + """, pairs AS (SELECT every.* FROM every JOIN n x ON x.folder = folder_a JOIN n y ON y.folder = folder_b WHERE x.n >= 2 AND y.n >= 2),
+st AS (SELECT folder_a, folder_b, regexp_replace(folder_a, '/[^/]*$', '') AS pa, regexp_replace(folder_b, '/[^/]*$', '') AS pb FROM every),
+up AS (SELECT st.folder_a, st.folder_b, e.folder_a AS x, e.folder_b AS y FROM st JOIN every e ON e.folder_a = least(pa, pb) AND e.folder_b = greatest(pa, pb)
+  WHERE pa <> pb AND pa <> st.folder_a AND pb <> st.folder_b AND pa <> st.folder_b AND pb <> st.folder_a AND NOT starts_with(pa, pb || '/') AND NOT starts_with(pb, pa || '/')),
+c AS (SELECT folder_a, folder_b FROM pairs UNION SELECT x, y FROM c JOIN up USING (folder_a, folder_b))"""
+
+
+@query(f"WITH RECURSIVE {_COLLAPSED} SELECT every.* FROM c JOIN every USING (folder_a, folder_b) WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.folder_a = c.folder_a AND up.folder_b = c.folder_b)")
 def near_dup_collapsed(spark, sf):
     """Near-duplicate pairs moved up to their highest similar ancestors."""
     tokens = _tokens(spark, sf)
-    return neardup.collapsed(neardup.exact_pairs(tokens), tokens)
+    return neardup.collapsed(neardup.exact_pairs(tokens), tokens).withColumn("similarity", F.round("similarity", 9))
 
 
 _STORED = """p AS (SELECT a AS folder_a, b AS folder_b, similarity, shared_files, union_files FROM (SELECT *, row_number() OVER (PARTITION BY a, b
@@ -357,8 +386,8 @@ def near_dup_filtered(spark, sf):
     return neardup.filtered_pairs(neardup.stored_pairs(load(spark, sf, "near_duplicate_folder_pairs")), 0.8, 0.95, "Photos")
 
 
-_DELTA = f"""{IDX}, {_STORED}, f AS (SELECT folder, name, max(struct_pack(hash := hash, size := size)) AS f FROM
-  (SELECT coalesce(parent_path, regexp_replace(path, '/[^/]*$', '')) AS folder, name, coalesce(hash, '') AS hash, size FROM idx WHERE is_file) GROUP BY 1, 2),
+_DELTA = f"""{IDX}, {_STORED}, f AS (SELECT folder, name, struct_pack(hash := hash, size := size) AS f FROM (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY hash DESC, size DESC NULLS LAST) AS k FROM
+  (SELECT coalesce(parent_path, regexp_replace(path, '/[^/]*$', '')) AS folder, name, coalesce(hash, '') AS hash, size FROM idx WHERE is_file)) WHERE k = 1),
 q AS (SELECT folder_a, folder_b FROM p WHERE similarity >= 0.8), a AS (SELECT folder_a, folder_b, name, f AS fa FROM q JOIN f ON folder = folder_a), b AS (SELECT folder_a, folder_b, name, f AS fb FROM q JOIN f ON folder = folder_b),
 d AS (SELECT folder_a, folder_b, name, CASE WHEN fb IS NULL THEN 'only_a' WHEN fa IS NULL THEN 'only_b' WHEN fa.hash = fb.hash THEN 'identical' ELSE 'changed' END AS status,
   greatest(fa.size, fb.size) AS size, CASE WHEN fa.hash <> fb.hash THEN fa.hash || ' → ' || fb.hash ELSE coalesce(fa.hash, fb.hash) END AS hash FROM a FULL JOIN b USING (folder_a, folder_b, name))"""
@@ -366,13 +395,13 @@ d AS (SELECT folder_a, folder_b, name, CASE WHEN fb IS NULL THEN 'only_a' WHEN f
 
 def _delta(spark, sf):
     pairs = neardup.stored_pairs(load(spark, sf, "near_duplicate_folder_pairs")).filter("similarity >= 0.8")
-    return neardup.deltas(pairs, idx(spark, sf))
+    return neardup.deltas(pairs, idx(spark, sf, "hash", "name", "size", "is_file", "parent_path"))
 
 
-@query(f"WITH {_DELTA} SELECT folder_a, folder_b, name, status, hash FROM d")
+@query(f"WITH {_DELTA} SELECT folder_a, folder_b, name, status, size, hash FROM d")
 def folder_delta(spark, sf):
     """File by file, what differs between the folders of each stored pair."""
-    return _delta(spark, sf).drop("size")
+    return _delta(spark, sf)
 
 
 @query(f"WITH {_DELTA} SELECT folder_a, folder_b, " + ", ".join(f"count(*) FILTER (status = '{k}') AS {k}" for k in ("only_a", "only_b", "changed", "identical")) + " FROM d GROUP BY 1, 2")
@@ -387,47 +416,49 @@ def delta_summary(spark, sf):
 @query(f"WITH {IDX} SELECT path, name, is_directory, size, modified FROM idx WHERE parent_path = '/mnt/vol-000'")
 def folder_children(spark, sf):
     """Direct entries of a folder."""
-    return tree.children(idx(spark, sf), "/mnt/vol-000")
+    return tree.children(idx(spark, sf, "name", "is_directory", "size", "modified", "parent_path"), "/mnt/vol-000")
 
 
 @query(f"WITH {IDX} SELECT parent_path, count(*) FILTER (is_file) AS files, count(*) FILTER (is_directory) AS folders FROM idx WHERE parent_path IS NOT NULL GROUP BY 1")
 def child_counts(spark, sf):
     """Files and folders directly in each folder."""
-    return tree.child_counts(idx(spark, sf))
+    return tree.child_counts(idx(spark, sf, "parent_path", "is_file", "is_directory"))
 
 
 @query(f"WITH {IDX}, {DUP} SELECT DISTINCT '/mnt/vol-000/' || split_part(substr(path, 14), '/', 1) AS path, split_part(substr(path, 14), '/', 1) AS name FROM idx WHERE is_file AND hash IN (SELECT hash FROM dup) AND starts_with(path, '/mnt/vol-000/')")
 def entries_with_duplicates(spark, sf):
     """Entries of a folder that are or hold a duplicate file."""
-    return tree.duplicate_flags(idx(spark, sf), "/mnt/vol-000")
+    return tree.duplicate_flags(idx(spark, sf, "hash", "is_file"), "/mnt/vol-000")
 
 
 @query(f"""WITH {IDX}, {DUP}, h AS (SELECT string_split(parent_path, '/') AS p FROM idx WHERE is_file AND parent_path <> '' AND hash IN (SELECT hash FROM dup)),
 e AS (SELECT p, unnest(range(2, len(p) + 1)) AS i FROM h) SELECT array_to_string(p[1:i], '/') AS folder, count(*) AS duplicates FROM e GROUP BY 1""")
 def folders_with_duplicates(spark, sf):
     """Duplicate files at any depth below each folder."""
-    return tree.folders_with_duplicates(idx(spark, sf))
+    return tree.folders_with_duplicates(idx(spark, sf, "hash", "is_file", "parent_path"))
 
 
 @query(f"WITH {IDX} SELECT path, parent_path, name, is_directory, length(path) - length(replace(path, '/', '')) AS depth FROM idx")
 def tree_rows(spark, sf):
     """All entries in tree order."""
-    return tree.tree_rows(idx(spark, sf))
+    return tree.tree_rows(idx(spark, sf, "parent_path", "name", "is_directory"))
 
 
 @query(f"WITH RECURSIVE {IDX}, s AS (SELECT '/mnt/vol-001' AS path UNION SELECT idx.path FROM idx JOIN s ON idx.parent_path = s.path) SELECT path FROM s")
 def subtree(spark, sf):
     """A folder and everything below it over parent paths."""
-    return tree.subtree(idx(spark, sf), spark.createDataFrame([("/mnt/vol-001",)], "path string"))
+    return tree.subtree(idx(spark, sf, "parent_path"), spark.createDataFrame([("/mnt/vol-001",)], "path string"))
 
 
 @query(f"WITH {IDX} SELECT parent_path, CAST(sum(size) FILTER (NOT is_directory) AS BIGINT) AS size FROM idx WHERE parent_path IS NOT NULL GROUP BY 1 HAVING NOT bool_or(is_directory) AND sum(size) FILTER (NOT is_directory) > 0")
 def leaf_dir_size(spark, sf):
     """Sizes of folders without subfolders."""
-    return tree.leaf_directory_sizes(idx(spark, sf))
+    return tree.leaf_directory_sizes(idx(spark, sf, "parent_path", "size", "is_directory"))
 
 
-@query()
+@query("""WITH e AS (SELECT group_id, min(string_split(folder_path, '/')) AS lo, max(string_split(folder_path, '/')) AS hi FROM duplicate_folder_groups WHERE group_id IS NOT NULL AND folder_path IS NOT NULL GROUP BY 1),
+k AS (SELECT *, list_position(list_transform(range(1, least(len(lo), len(hi)) + 1), lambda i: lo[i] = hi[i]), false) AS p FROM e)
+SELECT group_id, array_to_string(lo[1:coalesce(nullif(p, 0) - 1, least(len(lo), len(hi)))], '/') AS root FROM k""")
 def group_roots(spark, sf):
     """The deepest common folder of each stored folder group."""
     return tree.common_root(load(spark, sf, "duplicate_folder_groups").filter("group_id IS NOT NULL AND folder_path IS NOT NULL"), "group_id", "folder_path")
@@ -445,19 +476,19 @@ _TIMELINE = IDX + ", x AS (SELECT to_timestamp(floor(modified)) AT TIME ZONE 'UT
 @query(f"WITH {IDX} {_TOTALS}")
 def totals(spark, sf):
     """Files, folders and bytes."""
-    return dashboard.totals(idx(spark, sf))
+    return dashboard.totals(idx(spark, sf, "is_file", "is_directory", "size"))
 
 
 @query(f"WITH {_TIMELINE} SELECT * FROM l")
 def timeline(spark, sf):
     """Files, folders and bytes by day, week, month and year."""
-    return dashboard.timeline(idx(spark, sf))
+    return dashboard.timeline(idx(spark, sf, "modified", "is_file", "is_directory", "size"))
 
 
 @query(f"WITH {_TIMELINE} SELECT *, CAST(sum(size) OVER (PARTITION BY interval_type ORDER BY label ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_size FROM l")
 def timeline_cumulative(spark, sf):
     """The timeline with running bytes."""
-    return dashboard.running_size(dashboard.timeline(idx(spark, sf)))
+    return dashboard.running_size(dashboard.timeline(idx(spark, sf, "modified", "is_file", "is_directory", "size")))
 
 
 @query(f"""WITH {IDX}, {DUP}, t AS ({_TOTALS}), s AS ({_STATS.format('is_file')}), d AS ({_STATS.format('is_directory')})
@@ -490,7 +521,7 @@ def upsert_plan(spark, sf):
 @query(f"WITH {IDX} SELECT path FROM idx WHERE parent_path IN (SELECT parent_path FROM idx WHERE traverse_error IS NULL) AND path NOT IN (SELECT path FROM idx WHERE traverse_error IS NULL)")
 def stale_children(spark, sf):
     """Stored entries that a listing of the readable ones no longer has."""
-    i = idx(spark, sf)
+    i = idx(spark, sf, "parent_path", "traverse_error")
     return reconcile.stale_children(i, i.filter("traverse_error IS NULL").select("parent_path", "path")).select("path")
 
 
@@ -498,7 +529,7 @@ def stale_children(spark, sf):
 s AS (SELECT path FROM r UNION SELECT idx.path FROM idx JOIN s ON idx.parent_path = s.path) SELECT path FROM idx WHERE path NOT IN (SELECT path FROM s)""")
 def purge_unreadable(spark, sf):
     """The index without unreadable directories and what is below them."""
-    i = materialize(idx(spark, sf), "index")
+    i = materialize(idx(spark, sf, "parent_path", "is_directory", "traverse_error"), "index")
     return reconcile.without_subtrees(i, i.filter("is_directory AND traverse_error IS NOT NULL").select("path")).select("path")
 
 
@@ -506,13 +537,13 @@ def purge_unreadable(spark, sf):
  THEN 'skip' ELSE 'read' END AS action FROM (SELECT * FROM first WHERE is_directory) s FULL JOIN (SELECT * FROM idx WHERE is_directory AND traverse_error IS NULL) d USING (path)""")
 def reconcile_plan(spark, sf):
     """Per directory: purge, skip or read again."""
-    return reconcile.walk_plan(_first(spark, sf).filter("is_directory"), idx(spark, sf).filter("is_directory AND traverse_error IS NULL"))
+    return reconcile.walk_plan(_first(spark, sf).filter("is_directory"), idx(spark, sf, "modified", "is_directory", "traverse_error", "traversed").filter("is_directory AND traverse_error IS NULL"))
 
 
 @query(f"WITH {IDX}, {_FIRST} SELECT hash FROM duplicate_hashes WHERE hash IS NOT NULL UNION SELECT hash FROM idx WHERE hash IN (SELECT i.hash FROM idx i JOIN first f USING (path) WHERE i.hash IS DISTINCT FROM f.hash) GROUP BY hash HAVING count(*) > 1")
 def dup_hashes_incremental(spark, sf):
     """The stored duplicate hashes after a check of those that changed."""
-    i = idx(spark, sf)
+    i = idx(spark, sf, "hash")
     f = _first(spark, sf).select("path", F.col("hash").alias("old"))
     changed = i.join(f, "path").filter(~F.col("hash").eqNullSafe(F.col("old"))).select("hash")
     return reconcile.added_hashes(load(spark, sf, "duplicate_hashes"), i, changed)
@@ -527,13 +558,13 @@ _RULE_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {'NULL' if
 def ignored_folders(spark, sf):
     """Directories that ignore rules leave out."""
     lines = spark.createDataFrame([(n if c is None else f"{n}:{c}",) for n, c in _RULES], "line string")
-    return reconcile.ignored_folders(idx(spark, sf), reconcile.parsed_rules(lines))
+    return reconcile.ignored_folders(idx(spark, sf, "is_directory", "parent_path", "name"), reconcile.parsed_rules(lines))
 
 
 @query(f"WITH {IDX} SELECT path, traverse_error AS error FROM idx WHERE {FOLD.format('traverse_error')} LIKE '%permission%' OR {FOLD.format('path')} LIKE '%permission%'")
 def skipped_search(spark, sf):
     """Skipped paths with a text in path or error."""
-    rows = idx(spark, sf).filter("traverse_error IS NOT NULL").select("path", F.col("traverse_error").alias("error"))
+    rows = idx(spark, sf, "traverse_error").filter("traverse_error IS NOT NULL").select("path", F.col("traverse_error").alias("error"))
     return logs.skipped(rows, " Permission ")
 
 
@@ -559,7 +590,7 @@ def log_levels(spark, sf):
 @query("SELECT event_id AS id, ts AS timestamp FROM events WHERE user_id = 12 ORDER BY ts DESC, event_id LIMIT 1000")
 def process_logs(spark, sf):
     """The thousand latest rows of one process."""
-    return _events(spark, sf).filter("process_id = 12").orderBy(F.desc("timestamp"), "id").limit(1000).select("id", "timestamp")
+    return logs.process_page(_events(spark, sf), 12).select("id", "timestamp")
 
 
 _LINES = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -579,13 +610,24 @@ def text_indexed_paths(spark, sf):
     return logs.indexed_paths(logs.lines_of(load(spark, sf, "documents")))
 
 
-@query(f"""WITH {IDX}, w AS (SELECT 'Indexed ''' || parent_path || '''' AS message, parent_path AS folder FROM idx WHERE parent_path IS NOT NULL GROUP BY 2),
-p AS (SELECT parent_path, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM idx WHERE is_file GROUP BY 1) SELECT w.folder, message, files, bytes FROM w LEFT JOIN p ON p.parent_path = w.folder""")
+_NAMED = r"w AS (SELECT doc_id, timestamp, level, message, CASE WHEN starts_with(message, 'Indexed ''') THEN regexp_extract(message, '''([^'']*)''', 1) END AS folder FROM l)"
+
+
+@query(f"""WITH {IDX}, {_LINES}, {_NAMED}, p AS (SELECT parent_path, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM idx WHERE is_file GROUP BY 1)
+SELECT doc_id, timestamp, level, message, w.folder, files, bytes FROM w LEFT JOIN p ON p.parent_path = w.folder""")
 def logs_enriched(spark, sf):
-    """A row "Indexed '…'" per folder with the files found there."""
-    i = idx(spark, sf)
-    rows = i.filter("parent_path IS NOT NULL").select(F.concat(F.lit("Indexed '"), F.col("parent_path"), F.lit("'")).alias("message")).distinct()
-    return logs.enriched(rows, i).select("folder", "message", "files", "bytes")
+    """The log rows inside the documents, those "Indexed '…'" with the files found in the folder."""
+    rows = logs.enriched(logs.lines_of(load(spark, sf, "documents")), idx(spark, sf, "is_file", "parent_path", "size"))
+    return rows.select("doc_id", "timestamp", "level", "message", "folder", "files", "bytes")
+
+
+@query(f"""WITH {IDX}, d AS (SELECT DISTINCT folder_path FROM duplicate_folder_groups WHERE folder_path IS NOT NULL)
+SELECT folder_path AS folder, path, name, size FROM idx JOIN d ON d.folder_path = idx.parent_path WHERE is_file""")
+def logs_listed_files(spark, sf):
+    """The files in each folder that a log row "Indexed '…'" names; the rows name the stored duplicate folders."""
+    folders_ = load(spark, sf, "duplicate_folder_groups").filter("folder_path IS NOT NULL")
+    rows = folders_.select(F.lit("INFO").alias("level"), F.concat(F.lit("Indexed '"), F.col("folder_path"), F.lit("'")).alias("message")).distinct()
+    return logs.listed_files(rows, idx(spark, sf, "is_file", "parent_path", "name", "size"))
 
 
 # --- snapshots
@@ -607,7 +649,7 @@ def entities_with_latest(spark, sf):
 @query("SELECT count(*) AS rows, count(DISTINCT o_custkey) AS keys, count(*) FILTER (o_orderstatus = 'O') AS open, max(o_orderkey) AS newest FROM orders")
 def snapshot_stats(spark, sf):
     """Rows, keys, rows of a status and the newest id."""
-    return load(spark, sf, "orders").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("o_custkey").alias("keys"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.max("o_orderkey").alias("newest"))
+    return snapshots.store_stats(load(spark, sf, "orders"), "o_custkey", "o_orderstatus", "O", "o_orderkey")
 
 
 @query("SELECT hash FROM duplicate_hashes WHERE hash IS NOT NULL EXCEPT " + f"SELECT {HASH} FROM files WHERE {HASH} IS NOT NULL GROUP BY 1 HAVING count(DISTINCT path) > 1")
@@ -644,7 +686,7 @@ plan AS (SELECT *, CASE WHEN hash IS NULL OR row_number() OVER (PARTITION BY gro
 
 def _merge_plan(spark, sf):
     groups = load(spark, sf, "duplicate_folder_groups").filter("group_id IS NOT NULL AND folder_path IS NOT NULL").select("group_id", F.col("folder_path").alias("folder")).distinct()
-    files = idx(spark, sf).filter("is_file").select(F.col("parent_path").alias("folder"), "name", "path", "hash", "size").join(groups, "folder")
+    files = idx(spark, sf, "is_file", "parent_path", "name", "hash", "size").filter("is_file").select(F.col("parent_path").alias("folder"), "name", "path", "hash", "size").join(groups, "folder")
     return merge.merge_plan(files.select("group_id", "folder", "name", "path", "hash", "size"), ["group_id"])
 
 
@@ -670,7 +712,7 @@ def merged_tree(spark, sf):
 FROM idx WHERE is_file AND parent_path IS NOT NULL AND hash IN (SELECT hash FROM dup)""")
 def merge_within_folders(spark, sf):
     """Of the copies inside one folder the first is kept."""
-    files = duplicates.duplicate_files(idx(spark, sf)).filter("is_file AND parent_path IS NOT NULL").select(F.col("parent_path").alias("folder"), "name", "path", "hash", "size")
+    files = duplicates.duplicate_files(idx(spark, sf, "hash", "is_file", "parent_path", "name", "size")).filter("is_file AND parent_path IS NOT NULL").select(F.col("parent_path").alias("folder"), "name", "path", "hash", "size")
     return merge.merge_plan(files.withColumn("scope", F.col("folder")), ["scope"]).select("path", "action")
 
 
@@ -693,8 +735,7 @@ def streamed_hash_counts(spark, sf):
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(sf))
     done = incremental.duplicate_hash_stream(stream, f"{place}/state", f"{place}/checkpoint")
     done.awaitTermination()
-    last = done.lastProgress["batchId"]
-    return spark.read.parquet(f"{place}/state/v{last}")
+    return incremental.duplicate_hash_state(spark, f"{place}/state")
 
 
 def _stream_folder(sf: str) -> str:

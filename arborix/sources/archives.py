@@ -26,15 +26,15 @@ def bucket_label(number, outer: int = 1000, inner: int = 100):
 
 
 class PagedSource(DataSource):
-    """A list served in pages as a Spark data source, one partition a page.
+    """A list served in pages as a Spark data source, one partition a page, or several where there are very many pages.
 
-    Options: total, page_size, and columns of the schema; `fetch` is set on a subclass and gets (start, count). A short
-    page is taken as it is; 10 000 pages are the most.
+    Options: page_size, most_partitions, and total; without a total, `probe` is asked for it once. `fetch` is set on a
+    subclass and gets (start, count). A short page is taken as it is, and so is an empty one.
     """
 
     fetch: Callable[[int, int], list[tuple]]
+    probe: Callable[[], int]
     ddl: str
-    MOST_PAGES = 10_000
 
     @classmethod
     def name(cls) -> str:
@@ -44,22 +44,22 @@ class PagedSource(DataSource):
         return self.ddl
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _PagedReader(int(self.options["total"]), int(self.options.get("page_size", "100")), type(self).fetch, self.MOST_PAGES)
+        total = int(self.options["total"]) if "total" in self.options else type(self).probe()
+        return _PagedReader(total, int(self.options.get("page_size", "100")), type(self).fetch, int(self.options.get("most_partitions", "10000")))
 
 
 class _PagedReader(DataSourceReader):
     def __init__(self, total: int, size: int, fetch: Callable[[int, int], list[tuple]], most: int) -> None:
-        self.total, self.size, self.fetch, self.most = total, max(1, size), fetch, most
+        self.total, self.size, self.fetch, self.most = max(0, total), max(1, size), fetch, max(1, most)
 
     def partitions(self) -> list[InputPartition]:
         pages = -(-self.total // self.size)
-        if pages > self.most:
-            raise ValueError(f"more than {self.most} pages")
-        return [InputPartition(i * self.size) for i in range(pages)] or [InputPartition(None)]
+        each = max(1, -(-pages // self.most))
+        return [InputPartition((i, min(pages, i + each))) for i in range(0, pages, each)] or [InputPartition((0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is not None:
-            yield from self.fetch(partition.value, min(self.size, self.total - partition.value))
+        for page in range(*partition.value):
+            yield from self.fetch(page * self.size, min(self.size, self.total - page * self.size))
 
 
 @dataclass(frozen=True)

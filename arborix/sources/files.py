@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import os
 import stat as stat_module
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborix.operators.index import ordered
+from arborix.operators.reconcile import walk_plan
 from arborix.runtime import materialize
 
 SAMPLE = 4096
@@ -115,19 +118,76 @@ def list_folders(folders: DataFrame, hashed: bool = True) -> DataFrame:
     return folders.select("path").mapInPandas(run, ENTRY)
 
 
-def walk(spark: SparkSession, root: str, hashed: bool = True, max_depth: int = 1000) -> DataFrame:
-    """The whole tree below root, level by level, each level listed by all executors: the root's entry and all others."""
-    root = check_folder(root)
+def _root_entry(spark: SparkSession, root: str) -> DataFrame:
     s = os.stat(root)
-    first = spark.createDataFrame([(root, os.path.basename(root) or "/", s.st_size, s.st_mtime, None, True, False, False, None, None)], ENTRY)
-    tree, level = first, first
-    for _ in range(max_depth):
+    return spark.createDataFrame([(root, os.path.basename(root) or "/", s.st_size, s.st_mtime, None, True, False, False, None, None)], ENTRY)
+
+
+def walk(spark: SparkSession, root: str, hashed: bool = True) -> DataFrame:
+    """The whole tree below root, level by level, each level listed by all executors: the root's entry and all others.
+
+    Links are not followed, so every level lies deeper and the walk ends.
+    """
+    root = check_folder(root)
+    tree = level = _root_entry(spark, root)
+    while True:
         folders = level.filter("is_directory AND traverse_error IS NULL").select("path")
         level = materialize(list_folders(folders.repartition(spark.sparkContext.defaultParallelism, "path"), hashed), "walk")
         tree = tree.unionByName(level)
         if level.filter("is_directory").isEmpty():
             return tree
-    raise RuntimeError(f"deeper than {max_depth} levels")
+
+
+class Rewalk(NamedTuple):
+    #: the index after the walk: unchanged rows as stored, others as listed
+    index: DataFrame
+    #: folders whose entries were listed: path
+    listed: DataFrame
+
+
+def rewalk(spark: SparkSession, root: str, stored: DataFrame, hashed: bool = True) -> Rewalk:
+    """The tree below root after an incremental walk: only folders that are new or have another time are listed again.
+
+    stored is an index (ENTRY columns, traversed) of an earlier walk. A folder handled before and unchanged keeps its
+    stored entries, and its stored subfolders are looked at in turn, because a folder's time says nothing about what lies
+    below its entries. Entries that are gone do not come out, nor does anything below them.
+    """
+    root = check_folder(root)
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+    kept = stored.select(*names, "traversed")
+    tree = level = _root_entry(spark, root)
+    listed = None
+    while True:
+        plan = walk_plan(kept.filter("is_directory"), level.filter("is_directory AND traverse_error IS NULL").select("path", "modified"))
+        plan = materialize(plan.filter("action <> 'purge'"), "walk-plan")
+        read, skip = (plan.filter(F.col("action") == a).select("path") for a in ("read", "skip"))
+        fresh = list_folders(read.repartition(spark.sparkContext.defaultParallelism, "path"), hashed)
+        # the entries of an unchanged folder are as stored, but its subfolders have times of their own
+        same = kept.drop("traversed").join(skip.withColumnRenamed("path", "parent_path"), "parent_path", "left_semi").select(*names)
+        level = materialize(fresh.unionByName(_restated(same)), "walk")
+        tree = tree.unionByName(level)
+        listed = read if listed is None else listed.unionByName(read)
+        if level.filter("is_directory").isEmpty():
+            return Rewalk(tree, listed)
+
+
+def _restated(entries: DataFrame) -> DataFrame:
+    """Stored entries with the times their folders have now; folders that are gone are left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keep, times = [], []
+            for path, folder, modified in zip(f["path"].tolist(), f["is_directory"].tolist(), f["modified"].tolist(), strict=True):
+                try:
+                    times.append(os.stat(path, follow_symlinks=False).st_mtime if folder else modified)
+                    keep.append(True)
+                except OSError:
+                    times.append(None)
+                    keep.append(False)
+            f = f.assign(modified=times)
+            yield f[keep]
+
+    return entries.mapInPandas(run, ENTRY)
 
 
 def folder_entries(spark: SparkSession, path: str, order: str = "name", descending: bool = False) -> DataFrame:
@@ -136,21 +196,46 @@ def folder_entries(spark: SparkSession, path: str, order: str = "name", descendi
     return rows.orderBy(F.lower("name"), "name") if order == "name" and not descending else ordered(rows, order, descending, ["path"])
 
 
-def binary_index(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder of any file system Spark reads: path, size, modified and sampled hash, made without Python.
+def listed_binaries(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a folder of any file system Spark lists, without their content: path, name, size, modified.
 
     Spark's source leaves out files of no bytes; walk() lists them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    sampled = sampled_sha256(F.col("length"), F.substring("content", 1, SAMPLE), F.substring("content", -SAMPLE, SAMPLE))
-    return raw.select(plain.alias("path"), F.substring_index(plain, "/", -1).alias("name"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").cast("double").alias("modified"), sampled.alias("hash"))
+    return raw.select(plain.alias("path"), F.substring_index(plain, "/", -1).alias("name"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").cast("double").alias("modified"))
+
+
+def _with_hash(files: DataFrame, digest: Callable[[str, int], str]) -> DataFrame:
+    """files with the hash of each, read where the executors see the path; null where it cannot be read."""
+    schema = T.StructType([*files.schema.fields, T.StructField("hash", T.StringType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, size in zip(f["path"].tolist(), f["size"].tolist(), strict=True):
+                try:
+                    out.append(digest(path, int(size)))
+                except OSError:
+                    out.append(None)
+            yield f.assign(hash=pd.Series(out, dtype=object, index=f.index))
+
+    return files.mapInPandas(run, schema)
+
+
+def binary_index(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a folder with their sampled hashes: two seeks and at most 8 KiB a file, of any size."""
+    return _with_hash(listed_binaries(spark, path), _hash_file)
 
 
 def full_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of the whole content."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), F.sha2("content", 256).alias("hash"))
+    """path and SHA-256 of the whole content, read in pieces, so that a file of any size fits."""
+    return _with_hash(listed_binaries(spark, path), _hash_whole).select("path", "hash")
+
+
+def _hash_whole(path: str, size: int) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
 
 
 def file_content(spark: SparkSession, path: str, allowed: str) -> DataFrame:

@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from arborix.plans import index, skewed
+from arborix.plans import index, skewed, upkeep
 
 DATA = "/root/testdata/sf0.001"
-NAMES = sorted({**index.SQL, **skewed.SQL})
+CORE = {**index.QUERIES, **skewed.QUERIES, **upkeep.QUERIES}
+NAMES = sorted({**index.SQL, **skewed.SQL, **upkeep.SQL})
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
@@ -42,7 +43,7 @@ def same(spark, db, query, sql):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, db, name):
-    same(spark, db, ({**index.QUERIES, **skewed.QUERIES})[name], entry.oracle_sql()[name])
+    same(spark, db, CORE[name], entry.oracle_sql()[name])
 
 
 def test_every_query_is_described_and_the_flagship_runs(spark):

@@ -5,7 +5,7 @@ import pytest
 from helpers import rows
 
 from arborix.sources import archives, files, sinks
-from arborix.streaming.incremental import duplicate_hash_stream, windowed_counts
+from arborix.streaming.incremental import duplicate_hash_state, duplicate_hash_stream, windowed_counts
 
 
 def sampled(data: bytes) -> str:
@@ -116,7 +116,9 @@ def test_stream_of_duplicate_hashes(spark, tmp_path):
         spark.createDataFrame([(j, h) for j, h in enumerate(hashes)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         duplicate_hash_stream(source, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "state/v1")), "hash", "n", "is_duplicate") == [("a", 2, True), ("b", 2, True), ("c", 1, False)]
+    state = duplicate_hash_state(spark, str(tmp_path / "state"))
+    assert rows(state, "hash", "n", "is_duplicate") == [("a", 2, True), ("b", 2, True), ("c", 1, False)]
+    assert duplicate_hash_state(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_windows_of_a_stream_equal_those_of_a_table(spark, tmp_path):
