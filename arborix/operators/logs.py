@@ -46,9 +46,11 @@ def rule_events(logs: DataFrame, rules: DataFrame) -> DataFrame:
 
 def text_counts(logs: DataFrame, texts: list[str]) -> DataFrame:
     """For each of a few texts the rows whose message holds it as it is written (LIKE with an escape character)."""
+    if not texts:
+        return logs.sparkSession.createDataFrame([], "text string, n long")
     counts = logs.agg(*[F.count_if(holds_text("message", t)).alias(f"n{i}") for i, t in enumerate(texts)])
     pairs = F.array(*[F.struct(F.lit(t).alias("text"), F.col(f"n{i}").alias("n")) for i, t in enumerate(texts)])
-    return counts.select(F.inline(pairs)) if texts else logs.sparkSession.createDataFrame([], "text string, n long")
+    return counts.select(F.inline(pairs))
 
 
 def process_page(logs: DataFrame, process: int, most: int = 1000) -> DataFrame:
