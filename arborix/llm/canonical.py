@@ -18,12 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Letters of other alphabets that are drawn like an ASCII letter, written as <look-alike><ASCII letter>.
+from arborix.runtime import materialize
+
+# Letters drawn like one of another alphabet, written as <look-alike><letter>; the letter is ASCII if there is one.
 LOOK_ALIKES = (
     # Greek
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo νv ϲc ϳj "
     # Cyrillic
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX УY ҮY ԌG ԚQ ԜW Ѵv ҺҺ аa сc ԁd еe һh іi јj оo рp ԛq ѕs ѵv ԝw хx уy үy "
+    # Cyrillic like Greek
+    "ГΓ ПΠ ФΦ "
     # Armenian
     "ՍU ՏS ՕO հh օo ոn սu զq "
     # Latin letters of phonetic alphabets and small capitals drawn like a plain letter
@@ -179,10 +183,10 @@ class Canonicalizer:
         usable = (head_class == 0) & (head != at)
         last = np.zeros(len(cp), np.uint8)  # class of the last mark kept behind each starter
         gone = np.zeros(len(cp), bool)
-        for r in range(int(rank.max()) + 1):
-            take = np.flatnonzero((rank == r) & usable)
-            if not len(take):
-                continue
+        # the marks of one rank together, so that a letter with very many marks costs one short step for each
+        by_rank = np.flatnonzero(usable)
+        by_rank = by_rank[np.argsort(rank[by_rank], kind="stable")]
+        for take in np.split(by_rank, np.flatnonzero(np.diff(rank[by_rank])) + 1) if len(by_rank) else ():
             h, m = head[take], at[take]
             pair = cp[h].astype(np.int64) << 21 | cp[m].astype(np.int64)
             place = np.minimum(np.searchsorted(self.t.pairs, pair), len(self.t.pairs) - 1)
@@ -233,8 +237,6 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     base = df.select(F.col(key).alias("id"), F.col(text).alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     forms = with_canonical(base, "v", "c", ["id", "v"])
     # 128 bits for the form, 64 for the spelling inside it: a false match is out of reach at any table size
-    from arborix.runtime import materialize
-
     rows = materialize(forms.select("id", F.unhex(F.md5("c")).alias("form"), F.xxhash64("v").alias("spelling")), "forms")
     varied = rows.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).filter("lo < hi").select("form")
     hits = rows.join(varied, "form").distinct()

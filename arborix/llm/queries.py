@@ -84,6 +84,11 @@ def p5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_canonical(load(spark, sf_dir, "file_names"), "name", "canonical", ["id", "name"])
 
 
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path with its canonical form: paths of one form are a class."""
+    return with_canonical(load(spark, sf_dir, "files").select("id", "path").distinct(), "path", "canonical", ["id", "path"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a run of at least 20 words of an item, and the item."""
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -162,6 +167,7 @@ QUERIES = {
     "p4_group_sizes": p4_group_sizes,
     "p5_found": p5_found,
     "p5_names": p5_names,
+    "p5_paths": p5_paths,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p6_cleaned": p6_cleaned,

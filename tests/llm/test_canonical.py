@@ -52,6 +52,7 @@ def test_what_looks_the_same_and_what_does_not():
 def test_long_texts_and_many_marks():
     long = "é" * 200_000
     assert C([long, "x"]) == ["é" * 200_000, "x"]
+    assert C(["a" + "̖" * 100_000 + "́"]) == ["á" + "̖" * 100_000]
     zalgo = "a" + "̖́" * 500
     assert C([zalgo]) == [unicodedata.normalize("NFC", zalgo)]
 
