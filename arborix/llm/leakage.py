@@ -12,6 +12,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +29,8 @@ LEAST_WORDS = 20
 BLOCK_WORDS = 100_000
 #: Automata that a worker holds at once; of more, each is loaded for a batch and let go again.
 RESIDENT = 4
+#: Forms of raw words that a worker remembers.
+MOST_FORMS = 300_000
 
 # HTML elements that do not break a word.
 _INLINE = "a|abbr|b|big|cite|code|del|em|font|i|ins|kbd|mark|q|s|small|span|strike|strong|sub|sup|tt|u|var"
@@ -62,12 +65,7 @@ def words_of(text: str | None) -> Words:
     Words are runs of letters and digits; case, punctuation, markup, line breaks, invisible characters and the Unicode
     form do not count. Null and empty text have no words.
     """
-    if not text:
-        return Words([], [], [], "")
-    if "&" in text and ";" in text:
-        text = html.unescape(text)
-    if "<" in text or "](" in text:
-        text = _MARKUP.sub(" ", _INLINE_TAG.sub("", _without_comments(text)))
+    text = _without_markup(text)
     words, starts, ends = [], [], []
     if text.isascii():
         for m in _PART.finditer(text.lower()):
@@ -76,19 +74,49 @@ def words_of(text: str | None) -> Words:
             ends.append(m.end())
         return Words(words, starts, ends, text)
     for m in _WORD.finditer(text):
-        raw = m.group()
-        if raw.isascii() and "_" not in raw:
-            parts = [raw.lower()]
-        else:
-            plain = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", _DROP.sub("", raw)).casefold())
-            parts = _PART.findall(plain)
-        for p in parts:
+        for p in _compared(m.group()):
             words.append(p)
             starts.append(m.start())
             ends.append(m.end())
     return Words(words, starts, ends, text)
 
 
+def plain_words(text: str | None, known: dict[str, list[str]] | None = None) -> list[str]:
+    """The words of words_of() without their places; known keeps the forms of words met before."""
+    text = _without_markup(text)
+    if text.isascii():
+        return _PART.findall(text.lower())
+    known = Forms() if known is None else known
+    return list(chain.from_iterable(map(known.__getitem__, _WORD.findall(text))))
+
+
+class Forms(dict):
+    """Compared forms of raw words, worked out once; forgotten beyond MOST_FORMS."""
+
+    def __missing__(self, raw: str) -> list[str]:
+        if len(self) >= MOST_FORMS:
+            self.clear()
+        out = self[raw] = _compared(raw)
+        return out
+
+
+def _without_markup(text: str | None) -> str:
+    if not text:
+        return ""
+    if "&" in text and ";" in text:
+        text = html.unescape(text)
+    if "<" in text or "](" in text:
+        text = _MARKUP.sub(" ", _INLINE_TAG.sub("", _without_comments(text)))
+    return text
+
+
+def _compared(raw: str) -> list[str]:
+    """A run of word characters as words in compared form."""
+    if raw.isascii() and "_" not in raw:
+        return [raw.lower()]
+    return _PART.findall(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", _DROP.sub("", raw)).casefold()))
+
+
 class Automaton(NamedTuple):
     """A generalised suffix automaton over word numbers, ready to be matched against."""
 
@@ -154,7 +182,7 @@ def build_automaton(items: list[tuple[int, list[str]]], least: int = LEAST_WORDS
 
 def match(a: Automaton, words: list[str]) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Longest common run with each item that shares at least a.least words; merged spans (first, end) of such runs."""
-    known = np.fromiter((a.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+    known = np.fromiter(map(a.vocabulary.get, words, repeat(-1)), np.int64, len(words))
     best: dict[int, int] = {}
     spans: list[tuple[int, int]] = []
 
@@ -274,8 +302,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     automata = Automata(items, item, item_text, least)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms = Forms()
         for frame in frames:
-            words = [words_of(t).words for t in frame["t"].tolist()]
+            words = [plain_words(t, forms) for t in frame["t"].tolist()]
             rows = [
                 (d, i, run, size[i], sum(e - s for s, e in spans), len(w))
                 for d, w, (best, size, spans) in zip(frame["d"].tolist(), words, automata(words), strict=True)

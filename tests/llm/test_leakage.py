@@ -2,7 +2,7 @@ import random
 
 from helpers import rows
 
-from arborix.llm.leakage import build_automaton, leaks, match, without_leaks, words_of
+from arborix.llm.leakage import build_automaton, leaks, match, plain_words, without_leaks, words_of
 
 
 def run_of(a, b):
@@ -34,6 +34,8 @@ def test_words():
     assert words_of("The <b>QU</b>ick, bro​wn\nfox_es & café ＡＢ １２").words == ["the", "quick", "brown", "fox", "es", "café", "ab", "12"]
     assert words_of("[copy](http://x.y/z) &amp; **more** <br>line").words == ["copy", "more", "line"]
     assert words_of(f"one <img src={'x' * 5000}> two <!-- {'no ' * 5000} --> three [x]({'u' * 5000}) <b class={'y' * 5000}>fo</b>ur <!-- open").words == ["one", "two", "three", "x", "four", "open"]
+    for text in ("The <b>QU</b>ick, bro​wn\nfox_es & café ＡＢ １２ ㎏ ½", "plain_text 12-b", "", None, "é" * 3):
+        assert plain_words(text) == words_of(text).words
     assert words_of(None).words == [] and words_of("").words == [] and words_of("?!").words == []
 
 
