@@ -2,15 +2,16 @@
 
 import hashlib
 import os
+import random
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from arborix.functions import text as T
-from arborix.operators import index, logs, neardup, reconcile, snapshots
+from arborix.operators import index, logs, neardup, reconcile, snapshots, tree
 from arborix.sources import archives, files, sinks
 from arborix.streaming.incremental import refresh_every
-from pyspark.sql import functions as F
 
 
 def test_requests_that_contradict_themselves():
@@ -118,3 +119,18 @@ def test_copies_are_never_compared(spark):
     assert rows(pairs) == [("/f0", "/g", 0.8, 4, 5)]
     assert rows(neardup.folder_links(found, pairs)) == sorted([(f"/f{i}", "/f0", 30) for i in range(30)] + [("/g", "/g", 30)])
     assert neardup.exact_pairs(tokens).count() == 30 * 29 // 2 + 30
+
+
+def test_subtrees_with_rings_and_several_parents(spark):
+    rnd = random.Random(3)
+    for several in (False, True):
+        edges = [(f"p{i}", f"p{rnd.randrange(40)}") for i in range(40)] + [("p40", None)]
+        edges += [(f"p{rnd.randrange(40)}", f"p{rnd.randrange(40)}") for _ in range(20)] if several else edges[:5]
+        roots = ["p1", "p2", "p2", "away", None]
+        want = {r for r in roots if r}
+        while more := {p for p, parent in edges if parent in want} - want:
+            want |= more
+        df = spark.createDataFrame(edges, "path string, parent_path string")
+        assert rows(tree.subtree(df, spark.createDataFrame([(r,) for r in roots], "path string"))) == sorted((p,) for p in want)
+    chain = spark.createDataFrame([(f"/{i}", f"/{i - 1}") for i in range(1, 26)], "path string, parent_path string")
+    assert tree.subtree(chain, spark.createDataFrame([("/0",)], "path string")).count() == 26
