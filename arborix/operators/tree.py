@@ -45,13 +45,14 @@ def tree_rows(index: DataFrame) -> DataFrame:
 def subtree(index: DataFrame, roots: DataFrame) -> DataFrame:
     """path of all entries below the roots over parent paths, and the roots themselves, known or not.
 
-    Level by level; every level is written, so lineage stays short. Where every path has one parent, as in a current
+    Level by level; every level is written, so lineage stays short. Where every path has one row, as in a current
     index, each entry is met once, from its parent, so that only the roots are not followed again; otherwise all paths met
     before are not. Either way it ends at any depth and with rings.
     """
-    edges = materialize(index.filter("parent_path IS NOT NULL").select("path", "parent_path").distinct(), "edges")
+    edges = materialize(index.filter("parent_path IS NOT NULL").select("path", "parent_path"), "edges")
     level = materialize(roots.select("path").filter("path IS NOT NULL").distinct(), "level")
-    one_parent = edges.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    # two paths of one hash only lead to the slower way
+    one_parent = edges.groupBy(F.xxhash64("path").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     seen = closed = level
     while True:
         below = edges.join(level.withColumnRenamed("path", "parent_path"), "parent_path", "left_semi").select("path")
