@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborix.functions.text import is_under, parent_of
@@ -18,6 +18,8 @@ MIN_FILES = 2
 PERMUTATIONS = 64
 #: Bands of four rows: a pair at the limit of 0.8 shares one with a probability of 0.9998.
 BANDS = 16
+#: Folders that share a band with more than so many others must share a rare token as well, which similar ones do anyway.
+CROWDED = 64
 
 
 def folder_tokens(index: DataFrame) -> DataFrame:
@@ -74,7 +76,12 @@ def class_pairs(classes: DataFrame, min_similarity: float = MIN_SIMILARITY) -> D
     near = prefix.withColumnRenamed("cls", "a").join(other, "token").filter((F.col("a") < F.col("b")) & (F.least("n", "nb") >= F.lit(min_similarity) * F.greatest("n", "nb") - 1e-9))
     sets = classes.select("cls", "n", "tokens")
     left = near.select("a", "b").distinct().join(sets.toDF("a", "na", "ta"), "a")
-    both = left.join(sets.toDF("b", "nb", "tb"), "b").withColumn("shared_files", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    return _verified(left.join(sets.toDF("b", "nb", "tb"), "b"), min_similarity)
+
+
+def _verified(both: DataFrame, min_similarity: float) -> DataFrame:
+    """The similar ones of pairs a, b with their sizes na, nb and tokens ta, tb."""
+    both = both.withColumn("shared_files", F.size(F.array_intersect("ta", "tb")).cast("long"))
     union = F.col("na") + F.col("nb") - F.col("shared_files")
     out = both.select(F.col("a").alias("folder_a"), F.col("b").alias("folder_b"), (F.col("shared_files") / union).alias("similarity"), "shared_files", union.alias("union_files"))
     return out.filter(F.col("similarity") >= min_similarity)
@@ -95,8 +102,12 @@ def exact_pairs(tokens: DataFrame, min_similarity: float = MIN_SIMILARITY, min_f
     Where folders have very many copies, class_pairs() with folder_links() says the same in one row a folder.
     """
     found = folder_classes(tokens, min_files)
+    return _folder_pairs(found, class_pairs(found.classes, min_similarity))
+
+
+def _folder_pairs(found: FolderClasses, pairs: DataFrame) -> DataFrame:
+    """Pairs of folders from those of classes, and those of copies."""
     m, figures = found.members, ["similarity", "shared_files", "union_files"]
-    pairs = class_pairs(found.classes, min_similarity)
     across = pairs.join(m.toDF("x", "folder_a"), "folder_a").join(m.toDF("y", "folder_b"), "folder_b").select("x", "y", *figures)
     equal = found.classes.filter("folders > 1").select("cls", F.lit(1.0).alias("similarity"), F.col("n").alias("shared_files"), F.col("n").alias("union_files"))
     within = equal.join(m.toDF("x", "cls"), "cls").join(m.toDF("y", "cls"), "cls").filter("x < y").select("x", "y", *figures)
@@ -110,14 +121,52 @@ def minhash(tokens: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
 
 
 def sketched_pairs(tokens: DataFrame, min_similarity: float = MIN_SIMILARITY, min_files: int = MIN_FILES, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
-    """Pairs that share a band of their MinHash signatures, verified exactly; a pair at the limit is missed with a probability of 0.0002."""
-    sizes = folder_sizes(tokens, min_files)
+    """Pairs that share a band of their MinHash signatures, verified exactly; a pair at the limit is missed with a probability of 0.0002.
+
+    Copies are one class, and tokens are numbers, so that pairs of paths are made only in the last join.
+    """
+    numbers = materialize(tokens.select("token").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    numbered = materialize(tokens.join(numbers, "token").select("folder", F.col("number").alias("token")), "numbered")
+    found = folder_classes(numbered, min_files)
+    return _folder_pairs(found, sketched_class_pairs(found.classes, min_similarity, permutations, bands))
+
+
+def sketched_class_pairs(classes: DataFrame, min_similarity: float = MIN_SIMILARITY, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
+    """Pairs of classes that share a band, with the columns of class_pairs(); their tokens are numbers.
+
+    Sets that reach the limit with equal ones only are left out. A parity sketch differs in at most as many bits as two
+    sets differ in tokens, so it rejects no similar pair. Frequent tokens crowd bands with sets that are not similar: in a
+    crowded band two sets must also share a token at the rare end of both, as in class_pairs(), where the smaller set
+    needs the shorter end.
+    """
+    n, t = F.col("n"), F.lit(min_similarity)
+    sketch = F.expr("aggregate(tokens, 0L, (s, t) -> s ^ shiftleft(1L, cast(pmod(xxhash64(t), 64) AS int)))")
+    sets = materialize(classes.filter(n >= t * (n + 1) - 1e-9).select(F.monotonically_increasing_id().alias("id"), "cls", "n", "tokens", sketch.alias("sketch")), "sets")
     rows = max(1, permutations // bands)
-    signed = minhash(tokens.join(sizes.select("folder"), "folder", "left_semi"), permutations).join(sizes, "folder")
-    banded = signed.select("folder", "n", F.explode(F.array(*[F.xxhash64(F.lit(b), F.slice("signature", b * rows + 1, rows)) for b in range(bands)])).alias("band"))
-    other = banded.select(F.col("folder").alias("b"), F.col("n").alias("nb"), "band")
-    near = banded.withColumnRenamed("folder", "a").join(other, "band").filter((F.col("a") < F.col("b")) & (F.least("n", "nb") >= F.lit(min_similarity) * F.greatest("n", "nb")))
-    return _with_similarity(near.select("a", "b").distinct(), tokens, sizes).filter(F.col("similarity") >= min_similarity)
+    keys = F.array(*[F.xxhash64(F.lit(b), F.slice("signature", b * rows + 1, rows)) for b in range(bands)])
+    signed = minhash(sets.select(F.col("id").alias("folder"), F.explode("tokens").alias("token")), permutations).select(F.col("folder").alias("id"), keys.alias("bands"))
+    signed = materialize(signed.join(sets.select("id", "n", "sketch"), "id"), "signed")
+    banded = signed.select("id", "n", "sketch", F.explode("bands").alias("band"))
+    crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    banded = materialize(banded.join(crowds, "band"), "bands")
+
+    def met(small: DataFrame, large: DataFrame, *on: str) -> DataFrame:
+        other = large.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), *on)
+        order = (n < F.col("nb")) | ((n == F.col("nb")) & (F.col("a") < F.col("b")))
+        differ = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sb"))) <= (n + F.col("nb")) * (1 - t) / (1 + t) + 1e-9
+        return small.withColumnRenamed("id", "a").join(other, list(on)).filter(order & (n >= t * F.col("nb") - 1e-9) & differ).select("a", "b")
+
+    few = banded.filter(F.col("crowd") <= CROWDED)
+    many = banded.filter(F.col("crowd") > CROWDED).join(sets.select("id", "tokens"), "id")
+
+    def rare(needed: Column) -> DataFrame:
+        """The tokens of which two sets with so many tokens in common share one."""
+        return many.select("id", "n", "sketch", "band", F.explode(F.slice("tokens", F.lit(1), (n - F.ceil(needed - 1e-9) + 1).cast("int"))).alias("token"))
+
+    near = met(few, few, "band").unionByName(met(rare(2 * t / (1 + t) * n), rare(t * n), "band", "token")).distinct()
+    left = near.join(sets.select("id", "cls", "n", "tokens").toDF("a", "ca", "na", "ta"), "a")
+    both = left.join(sets.select("id", "cls", "n", "tokens").toDF("b", "cb", "nb", "tb"), "b")
+    return _verified(both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "na", "nb", "ta", "tb"), min_similarity)
 
 
 def near_duplicates(tokens: DataFrame, strategy: str = "exact", **params) -> DataFrame:

@@ -41,6 +41,45 @@ def test_sketched_pairs(tokens):
     assert rows(got, "folder_a", "folder_b", "shared_files") == [("/a", "/b", 90)]
 
 
+def shuffled(spark, df):
+    """The rows of df, and the records that all stages shuffle until they are counted where nothing is broadcast."""
+    sc, quantiles = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, quantiles, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    broadcast, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), total()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df().count(), total() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_sketched_pairs_of_alike_folders_are_not_spread(tokens, spark):
+    """Folders with frequent files in common crowd the bands, copies even more; neither may be shuffled as pairs."""
+    alike = {f"/a{i}": [0, 1, 2, 3, 100 + i, 1000 + i] for i in range(400)}
+    copies = {f"/c{i}": [4, 5, 6, 7, 8] for i in range(400)}
+    found, records = shuffled(spark, lambda: N.sketched_pairs(tokens(**alike, **copies)))
+    assert found == 400 * 399 // 2
+    assert records < 60 * 800
+
+
+@pytest.mark.parametrize("crowded", [1, 10**6])
+def test_sketched_pairs_match_exact_ones(tokens, monkeypatch, crowded):
+    monkeypatch.setattr(N, "CROWDED", crowded)
+    rnd = random.Random(8)
+    folders = {}
+    for i in range(60):
+        base = rnd.sample(range(9), rnd.randrange(2, 6)) + [rnd.randrange(9, 60) for _ in range(rnd.randrange(0, 12))]
+        folders |= {f"/f{i}": base, f"/g{i}": base[:-1] if len(base) > 3 else base, f"/h{i}": [*base, 1000 + i]}
+    t = tokens(**folders)
+    for limit in (0.8, 1.0):
+        assert rows(N.sketched_pairs(t, limit)) == rows(N.exact_pairs(t, limit)) != []
+
+
 def test_exact_pairs_match_brute_force(tokens):
     rnd = random.Random(5)
     base = [[rnd.randrange(40) for _ in range(rnd.randrange(1, 14))] for _ in range(25)]
