@@ -123,7 +123,7 @@ def minhash(tokens: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
 def sketched_pairs(tokens: DataFrame, min_similarity: float = MIN_SIMILARITY, min_files: int = MIN_FILES, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
     """Pairs that share a band of their MinHash signatures, verified exactly; a pair at the limit is missed with a probability of 0.0002.
 
-    Copies are one class, and tokens are numbers, so that pairs of paths are made only in the last join.
+    Pairs whose smaller folder has few files (up to 8 at 0.8) are never missed. Copies are one class, and tokens are numbers, so that pairs of paths are made only in the last join.
     """
     numbers = materialize(tokens.select("token").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
     numbered = materialize(tokens.join(numbers, "token").select("folder", F.col("number").alias("token")), "numbered")
@@ -134,7 +134,8 @@ def sketched_pairs(tokens: DataFrame, min_similarity: float = MIN_SIMILARITY, mi
 def sketched_class_pairs(classes: DataFrame, min_similarity: float = MIN_SIMILARITY, permutations: int = PERMUTATIONS, bands: int = BANDS) -> DataFrame:
     """Pairs of classes that share a band, with the columns of class_pairs(); their tokens are numbers.
 
-    Sets that reach the limit with equal ones only are left out. A parity sketch differs in at most as many bits as two
+    Sets that reach the limit with equal ones only are left out. Where one token at the rare end of the smaller set decides
+    (up to 8 tokens at 0.8), sets meet at that token and no pair is missed; larger ones meet in bands. A parity sketch differs in at most as many bits as two
     sets differ in tokens, so it rejects no similar pair. Frequent tokens crowd bands with sets that are not similar: in a
     crowded band two sets must also share a token at the rare end of both, as in class_pairs(), where the smaller set
     needs the shorter end.
@@ -144,7 +145,9 @@ def sketched_class_pairs(classes: DataFrame, min_similarity: float = MIN_SIMILAR
     sets = materialize(classes.filter(n >= t * (n + 1) - 1e-9).select(F.monotonically_increasing_id().alias("id"), "cls", "n", "tokens", sketch.alias("sketch")), "sets")
     rows = max(1, permutations // bands)
     keys = F.array(*[F.xxhash64(F.lit(b), F.slice("signature", b * rows + 1, rows)) for b in range(bands)])
-    signed = minhash(sets.select(F.col("id").alias("folder"), F.explode("tokens").alias("token")), permutations).select(F.col("folder").alias("id"), keys.alias("bands"))
+    small = F.ceil(t * n - 1e-9)
+    alone = lambda size: size - F.ceil(2 * t / (1 + t) * size - 1e-9) == 0
+    signed = minhash(sets.filter(~alone(n)).select(F.col("id").alias("folder"), F.explode("tokens").alias("token")), permutations).select(F.col("folder").alias("id"), keys.alias("bands"))
     signed = materialize(signed.join(sets.select("id", "n", "sketch"), "id"), "signed")
     banded = signed.select("id", "n", "sketch", F.explode("bands").alias("band"))
     crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
@@ -159,11 +162,12 @@ def sketched_class_pairs(classes: DataFrame, min_similarity: float = MIN_SIMILAR
     few = banded.filter(F.col("crowd") <= CROWDED)
     many = banded.filter(F.col("crowd") > CROWDED).join(sets.select("id", "tokens"), "id")
 
-    def rare(needed: Column) -> DataFrame:
+    def rare(of: DataFrame, needed: Column, *also: str) -> DataFrame:
         """The tokens of which two sets with so many tokens in common share one."""
-        return many.select("id", "n", "sketch", "band", F.explode(F.slice("tokens", F.lit(1), (n - F.ceil(needed - 1e-9) + 1).cast("int"))).alias("token"))
+        return of.select("id", "n", "sketch", *also, F.explode(F.slice("tokens", F.lit(1), (n - F.ceil(needed - 1e-9) + 1).cast("int"))).alias("token"))
 
-    near = met(few, few, "band").unionByName(met(rare(2 * t / (1 + t) * n), rare(t * n), "band", "token")).distinct()
+    near = met(few, few, "band").unionByName(met(rare(many, 2 * t / (1 + t) * n, "band"), rare(many, t * n, "band"), "band", "token"))
+    near = near.unionByName(met(rare(sets.filter(alone(n)), 2 * t / (1 + t) * n), rare(sets.filter(alone(small)), t * n), "token")).distinct()
     left = near.join(sets.select("id", "cls", "n", "tokens").toDF("a", "ca", "na", "ta"), "a")
     both = left.join(sets.select("id", "cls", "n", "tokens").toDF("b", "cb", "nb", "tb"), "b")
     return _verified(both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "na", "nb", "ta", "tb"), min_similarity)

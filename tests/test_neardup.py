@@ -67,6 +67,11 @@ def test_sketched_pairs_of_alike_folders_are_not_spread(tokens, spark):
     assert records < 60 * 800
 
 
+def test_sketched_pairs_of_small_folders_are_never_missed(tokens):
+    t = tokens(**{f"/{k}{i}": span(10 * i, 10 * i + n) for i in range(20) for k, n in (("a", 4), ("b", 5))})
+    assert N.sketched_pairs(t, bands=1).count() == 20
+
+
 @pytest.mark.parametrize("crowded", [1, 10**6])
 def test_sketched_pairs_match_exact_ones(tokens, monkeypatch, crowded):
     monkeypatch.setattr(N, "CROWDED", crowded)
